@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, simhash, tokenbin, winnow
+from . import attribution, linededup, mixing, quality, simhash, spotsigs, tokenbin, toxicity, warc, winnow
 from .common import table
 
 
@@ -17,10 +17,26 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(table(spark, sf_dir, "pages"))
+
+
 def op3_token_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.documents_of(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.neighbours_compared(table(spark, sf_dir, "documents"))
+
+
+def op5_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.by_line(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=1, min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -30,16 +46,32 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_items=2).drop("h")
 
 
+def op8_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_bitplanes, op6_line_dedup, op7_winnowing, op9_simhash_pivot)}
+    return {f.__name__: f for f in (
+        op1_quality_pu, op2_warc_transactions, op3_token_bitplanes, op4_spotsigs, op5_offset_attribution, op6_line_dedup, op7_winnowing, op8_toxicity_knn, op9_simhash_pivot, op10_soft_mixing
+    )}
 
 
 SQL = {
+    "op2_warc_transactions": r"""
+WITH p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[\r\n]', '%0A', 'g') AS url, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages WHERE page_id IS NOT NULL),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to, url
+FROM p LEFT JOIN f USING (d)
+""",
     "op6_line_dedup": r"""
 WITH l AS (
   SELECT d.rid, d.doc_id, u.pos, u.line, translate(trim(u.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
