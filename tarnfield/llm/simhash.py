@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import small, stored, text_of
 
 RADIUS = 3
 CELL = 2048
@@ -56,13 +56,13 @@ def majority(h: np.ndarray) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.array([fingerprint(x) for x in b.column(1).to_pylist()], dtype="u8").view("i8")
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], ["doc_id", "h", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, h (hash of the text), fp (the 64 bits as a signed long) of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), F.xxhash64(text_of()).alias("h"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, h long, fp long")
 
 
 def distances(fp: np.ndarray) -> np.ndarray:
@@ -182,11 +182,23 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
+    """doc_id, h, fp, component_id of every row."""
     fps = stored(fingerprints(docs), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     root = stored(components(links(nodes)), "components")
     low = root.join(nodes, root["node"] == nodes["fp"]).groupBy("root").agg(F.min("rep").alias("low"))
     held = root.join(low, "root").select("node", "low")
     labels = nodes.join(held, nodes["fp"] == held["node"], "left").select(F.col("fp").alias("l_fp"), F.coalesce("low", "rep").alias("l_root"))
-    return fps.join(labels, F.col("fp") == F.col("l_fp"), "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("l_root")).alias("component_id"))
+    return fps.join(labels, F.col("fp") == F.col("l_fp"), "left").select("doc_id", "h", "fp", F.when(F.col("doc_id").isNotNull(), F.col("l_root")).alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that stand for their component: the one with its smallest doc_id. Where that id is
+    repeated, one of its rows (with the least text hash) stays; rows with a null doc_id all stay."""
+    keep = stored(near_duplicates(docs).filter("component_id = doc_id").groupBy("doc_id").agg(F.min("h").alias("h"), F.count("*").alias("n")), "representatives")
+    key = F.xxhash64(text_of())
+    own = keep.select(F.col("doc_id").alias("__tarnfield_id"), F.col("h").alias("__tarnfield_h")).hint("shuffle_hash")
+    rest = docs.filter("doc_id is not null").join(own, (F.col("doc_id") == F.col("__tarnfield_id")) & (key == F.col("__tarnfield_h")), "left_semi")
+    if keep.filter("n > 1").limit(1).count():
+        rest = rest.dropDuplicates(["doc_id"])
+    return rest.unionByName(docs.filter("doc_id is null"))

@@ -126,3 +126,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) -> D
         "doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(n).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.when(F.col("items").isNull(), 0).otherwise(n) >= min_items).alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = 1) -> DataFrame:
+    """The rows of docs, all columns, that share windows with fewer than min_items items."""
+    bad = contaminated(docs, benchmark, min_items).filter("contaminated").select(F.col("doc_id").alias("__tarnfield_id"), F.col("h").alias("__tarnfield_h")).distinct()
+    bad = small(stored(bad, "contaminated"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__tarnfield_id")) & (F.xxhash64(text_of()) == F.col("__tarnfield_h")), "left_anti")
