@@ -8,13 +8,14 @@ are encoded as they are.
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 from itertools import islice
 
 import numpy as np
 
 #: White space besides the blank and the line feed, in any of the libraries' definitions.
 _OTHER = [c for c in map(chr, range(0x3001)) if (c.isspace() or c in "\x00᠎​﻿") and c not in " \n"]
-_JOIN = 1 << 16
 
 
 class UnitEncoder:
@@ -39,7 +40,8 @@ class UnitEncoder:
         self.units: dict[str, bytes] = {"": b""}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found] if sys.byteorder == "little" else [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     @staticmethod
     def _split(text: str) -> list[str] | None:
@@ -48,29 +50,15 @@ class UnitEncoder:
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def _learn(self, new: list[str]) -> None:
-        """Encode new units, many in one string, parted by line feeds."""
+        """Encode new units; a comma or full stop behind a letter is always a token's start, so it is put behind the rest."""
         if len(self.units) + len(new) > self.max_units:
             # units met first are the frequent ones
             self.units = dict(islice(self.units.items(), self.max_units // 2)) | {"": b""}
-        new = [u for u in new if u != "\n"]
-        self.units["\n"] = self._plain(["\n"])[0]
-        at = 0
-        while at < len(new):
-            size, end = 0, at
-            while end < len(new) and size < _JOIN:
-                size += len(new[end])
-                end += 1
-            part = new[at:end]
-            ids = np.frombuffer(self._plain(["\n".join(part)])[0], dtype="<u4")
-            raw = ids.tobytes()
-            bounds = np.cumsum([len(u.encode()) + 1 for u in part])
-            ends = np.cumsum(self.n_bytes[ids])
-            last = np.searchsorted(ends, bounds - 1) + 1  # behind the last id of each unit
-            first = np.concatenate(([0], last[:-1] + 1))
-            if ends[-1] != bounds[-1] - 1 or not np.array_equal(ends[last - 1], bounds - 1):
-                raise ValueError("ids do not part at unit borders")
-            self.units.update((u, raw[4 * a : 4 * b]) for u, a, b in zip(part, first.tolist(), last.tolist(), strict=True))
-            at = end
+        ended = [u for u in new if len(u) > 2 and u[-1] in ",." and u[-2].isalpha()]
+        bases = {u[:-1] for u in ended}.union(set(new).difference(ended), ",.").difference(self.units)
+        self.units.update(zip(bases, self._plain(list(bases)), strict=True))
+        get = self.units.__getitem__
+        self.units.update([(u, get(u[:-1]) + get(u[-1])) for u in ended])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, stored
 
 BLOCK = 65_536
 _HEAD = struct.Struct("<4sBBBBIIII")
@@ -131,8 +131,8 @@ def _blocks(path: str, end_id: int, mode: str):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["shard", "chunk", "first", "n_ids", "n_bytes", "blob"])
 
         for b in batches:
-            for a in range(0, b.num_rows, 512):
-                part = b.slice(a, 512)
+            for a in range(0, b.num_rows, 1024):
+                part = b.slice(a, 1024)
                 ids = part.column(0).to_pylist()
                 out = []
                 for doc_id, raw in zip(ids, enc.encode(part.column(1).to_pylist()), strict=True):
@@ -197,7 +197,7 @@ def _joined_crc(parts):
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the blocks; each block is decoded by itself."""
     chunks = spark.read.schema(_CHUNK_SCHEMA).parquet(f"{folder}/chunks")
-    pieces = chunks.select("shard", "blob").mapInArrow(_pieces, _ROW_SCHEMA)
+    pieces = stored(chunks.select("shard", "blob").mapInArrow(_pieces, _ROW_SCHEMA), "pieces")
     whole = pieces.filter("n = doc_n").select("doc_id", "shard", "doc_start", "doc_n", "crc")
     cut = (
         pieces.filter("n < doc_n").groupBy("doc_id", "shard", "doc_start", "doc_n")
