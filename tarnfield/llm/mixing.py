@@ -63,23 +63,19 @@ class Classifier:
     def __init__(self, domains: list[str], prior: dict[str, float], weights: dict[int, dict[str, float]], base: dict[str, float] | None = None):
         self.domains, self.prior, self.weights, self.base = domains, prior, weights, base or {}
 
-    def posterior(self, text: Column) -> dict[str, Column]:
-        """Log of prior times likelihood of each domain (of an untaught classifier: the prior)."""
+    def posterior(self, text: Column) -> Column:
+        """A struct with the log of prior times likelihood of each domain (of an untaught classifier: of the prior)."""
         order = sorted(self.weights)
         if not order:
-            return {k: F.lit(self.prior[k]) for k in self.domains}
+            return F.struct(*[F.lit(math.log(self.prior[k])).alias(k) for k in self.domains])
         listed = lambda xs, end: F.expr(f"array({','.join(f'{x}{end}' for x in xs)})")
         known = F.expr("array(" + ",".join(f"{b}L" if b > -(1 << 63) else "-9223372036854775807L - 1L" for b in order) + ")")
         found = F.transform(F.array_intersect(_traits(text), known), lambda b: F.array_position(known, b).cast("int") - 1)
-        total = {}
-        for k in self.domains:
-            w = listed([f"{self.weights[b][k]:.6f}" for b in order], "D")
-            total[k] = _summed(found, w, self.base[k])
-        return total
-
-
-def _summed(found: Column, w: Column, start: float) -> Column:
-    return F.aggregate(found, F.lit(start), lambda acc, s: acc + F.get(w, s))
+        weights = {k: listed([f"{self.weights[b][k]:.6f}" for b in order], "D") for k in self.domains}
+        start = F.struct(*[F.lit(self.base[k]).alias(k) for k in self.domains])
+        # one pass that sums for all domains: a function with a lambda is evaluated anew wherever it stands
+        sums = F.aggregate(found, start, lambda acc, s: F.struct(*[(acc[k] + F.get(weights[k], s)).alias(k) for k in self.domains]))
+        return sums
 
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: int = TRAIN_ROWS) -> Classifier:
@@ -116,31 +112,34 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: in
 
 def with_posteriors(docs: DataFrame, model: Classifier, keep: list[Column]) -> DataFrame:
     """`keep` and p_<domain>, t of every row."""
-    scores = docs.select(*keep, n_words(text_of()).alias("t"), *[c.alias(f"l_{k}") for k, c in model.posterior(text_of()).items()])
-    if not model.weights:
-        return scores.select(*[c for c in scores.columns if not c.startswith("l_")], *[F.col(f"l_{k}").alias(f"p_{k}") for k in model.domains])
-    top = F.greatest(*[F.col(f"l_{k}") for k in model.domains])
-    parts = {k: F.exp(F.col(f"l_{k}") - top) for k in model.domains}
+    scores = docs.select(*keep, n_words(text_of()).alias("t"), model.posterior(text_of()).alias("l"))
+    top = F.greatest(*[F.col("l")[k] for k in model.domains])
+    parts = {k: F.exp(F.col("l")[k] - top) for k in model.domains}
     total = reduce(lambda a, b: a + b, parts.values())
-    return scores.select(*[c for c in scores.columns if not c.startswith("l_")], *[(parts[k] / total).alias(f"p_{k}") for k in model.domains])
+    return scores.select(*[c for c in scores.columns if c != "l"], *[(parts[k] / total).alias(f"p_{k}") for k in model.domains])
 
 
 def rate(domains: list[str], steps: list[list[float]]) -> Column:
     """The rate that the steps so far give a row with p_<domain>."""
-    r = F.lit(1.0)
     if not steps:
-        return r
+        return F.lit(1.0)
     moves = F.lit([[float(x) for x in g] for g in steps])
+    # the probabilities travel in the accumulator, so that they are worked out once for a row and not in each step
+    start = F.struct(F.lit(1.0).alias("r"), *[F.col(f"p_{k}").alias(f"p_{k}") for k in domains])
 
     def step(acc: Column, g: Column) -> Column:
-        return F.greatest(F.lit(0.0), acc - reduce(lambda a, b: a + b, [F.col(f"p_{k}") * F.get(g, F.lit(i)) for i, k in enumerate(domains)]))
+        down = reduce(lambda a, b: a + b, [acc[f"p_{k}"] * F.get(g, F.lit(i)) for i, k in enumerate(domains)])
+        return F.struct(F.greatest(F.lit(0.0), acc["r"] - down).alias("r"), *[acc[f"p_{k}"].alias(f"p_{k}") for k in domains])
 
-    return F.aggregate(moves, r, step)
+    return F.aggregate(moves, start, step, lambda acc: acc["r"])
 
 
 def fit(table: DataFrame, domains: list[str], targets: dict[str, float], anchor: str, most: int = STEPS, tolerance: float = 1e-4) -> tuple[list[list[float]], dict]:
     """The steps' vectors, and the totals reached; table has t and p_<domain>, and is read once for each step."""
-    sums = lambda r: [float(x or 0) for x in table.agg(*[F.sum(r * F.col("t") * F.col(f"p_{k}")) for k in domains]).first()]
+    def sums(r: Column) -> list[float]:
+        rows = table.select(r.alias("r"), "t", *[f"p_{k}" for k in domains])  # the rate is worked out once for all domains
+        return [float(x or 0) for x in rows.agg(*[F.sum(F.col("r") * F.col("t") * F.col(f"p_{k}")) for k in domains]).first()]
+
     share = {k: targets[k] / sum(targets.values()) for k in domains}
     size = sums(F.lit(1.0))
     goal = [share[k] * size[domains.index(anchor)] / share[anchor] for k in domains]
@@ -159,26 +158,24 @@ def copies(r: Column, *key: Column, slack: float = SLACK) -> Column:
     return F.when(F.abs(r - 1) <= slack, 1).otherwise(F.floor(r + even)).cast("int")
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], anchor: str):
+def _fitted(docs: DataFrame, labels: DataFrame, keep: list[Column], targets: dict[str, float], anchor: str):
+    """`keep`, doc_id, h, t, p_<domain> of every row as a written table, and its rate; texts are classified once."""
     domains = list(targets)
     model = learn(docs, labels.select("doc_id", domain_of().alias("domain")), domains)
-    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h")]
+    key = [*keep, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h")]
     table = stored(with_posteriors(docs, model, key), "posteriors")
-    steps, totals = fit(table, domains, targets, anchor)
-    return domains, model, table, steps, totals
+    steps, _ = fit(table, domains, targets, anchor)
+    return domains, table.withColumn("rate", rate(domains, steps))
 
 
 def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "good") -> DataFrame:
     """doc_id, n_words, p_<domain>, rate, copies for every row."""
-    domains, _, table, steps, _ = _fitted(docs, labels, targets, anchor)
-    out = table.withColumn("rate", rate(domains, steps))
+    domains, out = _fitted(docs, labels, [], targets, anchor)
     return out.select("doc_id", F.col("t").cast("long").alias("n_words"), *[f"p_{k}" for k in domains], "rate", copies(F.col("rate"), F.col("doc_id"), F.col("h")).alias("copies"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "good") -> DataFrame:
     """The rows of docs, all columns, each as often as its copies."""
-    domains, model, _, steps, _ = _fitted(docs, labels, targets, anchor)
-    own = docs.columns
-    key = [F.struct(*own).alias("__tarnfield_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h")]
-    out = with_posteriors(docs, model, key).withColumn("copies", copies(rate(domains, steps), F.col("doc_id"), F.col("h"))).filter("copies > 0")
-    return out.select("__tarnfield_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__tarnfield_row.*")
+    _, out = _fitted(docs, labels, [F.struct(*docs.columns).alias("row")], targets, anchor)
+    n = copies(F.col("rate"), F.col("doc_id"), F.col("h"))
+    return out.withColumn("copies", n).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
