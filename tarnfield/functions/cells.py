@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType
@@ -41,16 +44,24 @@ def values(c: Column | str, kind: DataType | None = None) -> Column:
 
 
 def holds_any(c: Column | str, wanted: list[str], kind: DataType | None = None) -> Column:
-    """Whether a cell holds one of the values. Never null."""
+    """Whether a cell holds one of the values; a null cell doesn't (and is null at most, which no filter lets pass)."""
     if not wanted:
         return F.lit(False)
     if kind is not None and kind.simpleString() in ("int", "bigint", "smallint", "tinyint"):
         # a whole number is one value; compared as it is, the scan can skip row groups
         whole = [int(w) for w in map(str, wanted) if w.lstrip("-").isdigit()]
-        return F.coalesce((F.col(c) if isinstance(c, str) else c).isin(whole), F.lit(False)) if whole else F.lit(False)
+        return (F.col(c) if isinstance(c, str) else c).isin(whole) if whole else F.lit(False)
     if kind is not None and not isinstance(kind, (StringType, ArrayType)):
         return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string").isin([str(w) for w in wanted]), F.lit(False))
-    return F.coalesce(F.arrays_overlap(values(c, kind), F.array(*[F.lit(str(w)) for w in wanted])), F.lit(False))
+    own = [str(w) for w in wanted]
+    overlap = F.coalesce(F.arrays_overlap(values(c, kind), F.array(*map(F.lit, own))), F.lit(False))
+    if isinstance(kind, ArrayType):
+        return overlap
+    # most cells are one value as it stands: only those with separators or odd blanks are taken apart
+    cell = (F.col(c) if isinstance(c, str) else c).cast("string")
+    plain = [w for w in own if w and not re.search(r"[,;\s]", w)]
+    apart = F.coalesce(cell.rlike(r"[,;\s\x{a0}]"), F.lit(False)) & overlap
+    return F.coalesce(cell.isin(plain), F.lit(False)) | apart if plain else apart
 
 
 def first_number(c: Column) -> Column:
@@ -60,9 +71,24 @@ def first_number(c: Column) -> Column:
 def in_range(c: Column | str, r: Range, kind: DataType | None = None) -> Column:
     """Bounds included. Text is read as the first number in it; what has none is outside."""
     c = F.col(c) if isinstance(c, str) else c
-    number = c if kind is not None and kind.simpleString() in ("int", "bigint", "double", "float", "smallint") else first_number(c)
-    inside = number >= F.lit(r.low) if r.low != float("-inf") else number.isNotNull()
-    return F.coalesce(inside & (number <= F.lit(r.high)) if r.high is not None else inside, F.lit(False))
+    name = kind.simpleString() if kind is not None else ""
+    number, low, high = first_number(c), r.low, r.high
+    if name in ("double", "float", "smallint", "int", "bigint"):
+        number = c
+    if name in ("smallint", "int", "bigint"):
+        # bounds of the column's own type reach the scan
+        most = {"smallint": 15, "int": 31, "bigint": 63}[name]
+        whole = lambda x, to: int(min(max(to(x), -(1 << most)), (1 << most) - 1))
+        if low >= 1 << most or (high is not None and high < -(1 << most)):
+            return F.lit(False)
+        low = low if math.isinf(low) else F.lit(whole(low, math.ceil)).cast(kind)
+        high = None if high is None or math.isinf(high) else F.lit(whole(high, math.floor)).cast(kind)
+    if not isinstance(low, Column):
+        low = None if low == float("-inf") else F.lit(low)
+    inside = number.isNotNull() if low is None else number >= low
+    if high is not None:
+        inside = inside & (number <= high)
+    return inside
 
 
 def compare(a: Column, op: str, b: str | Column) -> Column:

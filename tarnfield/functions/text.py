@@ -22,9 +22,9 @@ def char_escape(c: Column) -> Column:
 
 def char_unescape(c: Column) -> Column:
     """The ampersand last, so that an escaped escape comes back as what it was; a doubled backslash is one."""
-    hidden = F.replace(F.coalesce(c, F.lit("")), F.lit("\\\\"), F.lit("\x00"))
-    plain = reduce(lambda x, e: F.replace(x, F.lit(e[1]), F.lit(e[0])), [e for e in reversed(ESCAPES) if e[0] not in "&\\"], hidden)
-    return F.replace(F.replace(F.replace(plain, F.lit("&#92;"), F.lit("\\")), F.lit("\x00"), F.lit("\\")), F.lit("&#38;"), F.lit("&"))
+    back = [e for e in reversed(ESCAPES) if e[0] not in "&\\"] + [("\\", "&#92;"), ("&", "&#38;")]
+    decoded = lambda x: reduce(lambda y, e: F.replace(y, F.lit(e[1]), F.lit(e[0])), back, x)
+    return F.array_join(F.transform(F.split(F.coalesce(c, F.lit("")), r"\\\\", -1), decoded), "\\")
 
 
 def uri_encode(c: Column) -> Column:

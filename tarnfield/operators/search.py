@@ -186,7 +186,7 @@ def suggestions(table: Table, top: int = PREFIXES, top_next: int = NEXT_WORDS) -
     Frequencies are counted before prefixes are spread out, so a frequent word is one row by then."""
     L = table.locale
     clean = F.regexp_replace(F.regexp_replace("sentence", _MARKS, " "), _LONE, " ")
-    raw = F.transform(F.split(clean, r"\s+"), lambda w: F.regexp_replace(w, r"^[^\w\x80-\xff]+|[^\w\x80-\xff]+$", ""))
+    raw = F.transform(F.split(clean, r"\s+"), lambda w: F.regexp_replace(w, r"(?U)^[^\w\x80-\xff]+|[^\w\x80-\xff]+$", ""))
     text = F.array_join(F.filter(raw, lambda w: F.char_length(w) >= 2), "\n")
     lists = F.filter(F.transform(F.split(L.column("suggest_words", text), "\n"), lambda x: F.filter(F.split(x, " "), lambda w: F.char_length(w) >= 2)), lambda x: F.size(x) > 0)
     rows = sentences(table).select(lists.alias("ws"))

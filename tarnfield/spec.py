@@ -152,7 +152,8 @@ def table_spec(name: str, blocks: list, **options: Any) -> TableSpec:
             made.append(Block(b[0], type=b[1], link=Link.of(b[2]) if len(b) > 2 else None))
     for k in ("facet_rules", "junk_rules"):
         options[k] = tuple(map(Rule.of, options.get(k, ())))
-    return TableSpec(name, tuple(made), **{k: tuple(v) if isinstance(v, list) else v for k, v in options.items()})
+    frozen = lambda v: tuple(frozen(x) for x in v) if isinstance(v, list) else v
+    return TableSpec(name, tuple(made), **{k: frozen(v) for k, v in options.items()})
 
 
 @dataclass(frozen=True)
