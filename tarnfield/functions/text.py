@@ -43,6 +43,14 @@ def key_encode(c: Column) -> Column:
     return F.when(text.rlike(r"[^a-zA-Z0-9_]"), F.regexp_replace(ascii_plain(text), r"[^a-zA-Z0-9_]", "")).otherwise(text)
 
 
+def utf_encode(c: Column, charset: str = "UTF-8") -> Column:
+    return F.encode(c, charset)
+
+
+def utf_decode(c: Column, charset: str = "UTF-8") -> Column:
+    return F.decode(c, charset)
+
+
 def hash_password(password: str, salt: str | None = None) -> str:
     """sha256$salt$hash; nothing for no password."""
     if not password:

@@ -11,6 +11,7 @@ from .functions import arrays, cells, dates, text
 from .functions.locales import locale
 from .operators import core, dml, facet, link, read, search, sets
 from .plans import index, star
+from .session import importable, scratch
 from .spec import table_spec
 from .streaming import feed
 
@@ -546,36 +547,22 @@ def events_sessions(spark, d):
 # -- built lists
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A folder of its own under the one that driver and executors share."""
-    import tempfile
-    import uuid
-
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="tarnfield-")
-        spark.sparkContext.setCheckpointDir(at)
-    return f"{at}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT p_partkey FROM part WHERE p_brand IN ('Brand#2', 'Brand#4') AND p_type IN ('ECONOMY', 'SMALL')")
 def indexed_filter(spark, d):
-    t = index.build(_part(spark, d), _shared(spark, "lists"))
+    t = index.build(_part(spark, d), scratch(spark, "lists"))
     return read.field_filter(t, {2: ["Brand#2", "Brand#4"], 3: ["ECONOMY", "SMALL"]}, keys_only=True).df
 
 
 @query(f"SELECT p_partkey FROM part WHERE list_contains({_WORDS}, 'red') AND list_contains({_WORDS}, 'bolt')")
 def indexed_search(spark, d):
-    t = index.build(_part(spark, d), _shared(spark, "lists"))
+    t = index.build(_part(spark, d), scratch(spark, "lists"))
     return search.search_table(t, "red bolt", keys_only=True).df
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 20 OFFSET 7000")
 def indexed_deep_page(spark, d):
     t = _orders(spark, d)
-    places = index.presorted(t, 3, _shared(spark, "places"))
+    places = index.presorted(t, 3, scratch(spark, "places"))
     return index.page_of(t, places, 7000, 20).select("o_orderkey", "o_totalprice")
 
 
@@ -583,7 +570,7 @@ def indexed_deep_page(spark, d):
 def catalog_writes(spark, d):
     from .sources.catalog import Catalog
 
-    c = Catalog(spark, _shared(spark, "catalog"), "driver")
+    c = Catalog(spark, scratch(spark, "catalog"), "driver")
     t = _part(spark, d)
     c.create(t.spec, t.df)
     with c.transaction("two writes"):
@@ -592,11 +579,30 @@ def catalog_writes(spark, d):
     return c.table("part").df.select("p_partkey", "p_brand")
 
 
+@query("SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 1")
+def bulk_ingest(spark, d):
+    """All orders written into a catalog and their value lists built; counted from what was written."""
+    from .sources.catalog import Catalog
+
+    c = Catalog(spark, scratch(spark, "ingest"), "driver")
+    t = _orders(spark, d)
+    c.create(t.spec, t.df)
+    built = index.build(c.table("orders"), scratch(spark, "ingest-lists"))
+    return built.postings.filter("block = 2").groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 97 = 5 AND o_orderkey < 97000")
+def read_list_batch(spark, d):
+    """A thousand point reads at once."""
+    t = _orders(spark, d)
+    return read.read_list(t, range(5, 97_000, 97)).select("o_orderkey", "o_totalprice")
+
+
 @query("SELECT event_id::VARCHAR AS event_id, event_type, props FROM events")
 def tsv_roundtrip(spark, d):
     from .sources import exchange
 
-    folder = _shared(spark, "tsv")
+    folder = scratch(spark, "tsv")
     exchange.to_tsv(star.read(spark, d, "events").select("event_id", "event_type", "props"), folder)
     return exchange.from_tsv(spark, folder, table_spec("events", ["event_id", "event_type", "props"]))
 
@@ -604,8 +610,6 @@ def tsv_roundtrip(spark, d):
 def queries() -> dict[str, Query]:
     from functools import wraps
 
-    from .session import importable
-
     def ready(f: Query) -> Query:
         @wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Sessions in which Python workers find this package."""
+"""Sessions: how Python workers find this package, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +20,19 @@ def importable(spark: SparkSession) -> SparkSession:
         if ROOT not in own.split(os.pathsep):
             sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, own) if x)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="tarnfield-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(at)
+    return at
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -56,6 +56,15 @@ class Store:
         finally:
             self._fs.delete(own, False)
 
+    def replace(self, name: str, text: str) -> None:
+        """Write a small file, in an older one's place if there is one."""
+        self._fs.mkdirs(self._path(name).getParent())
+        stream = self._fs.create(self._path(name), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
     def delete(self, name: str) -> bool:
         return self._fs.delete(self._path(name), True)
 

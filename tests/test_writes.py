@@ -146,6 +146,34 @@ def test_rules_of_writes(spark):
     assert {r["id"]: r["v"] for r in dml.replace_values(multi, 1, {"a": "z"}).collect()} == {1: "z,b,c", 2: None}
 
 
+def test_handles(spark, catalog):
+    from tarnfield.sources.handles import Cached, Staging, Users
+
+    s = Staging(spark, catalog.store.root)
+    assert s.read("x") is None
+    s.write("x", made(spark, (1, "a", 1.0)))
+    s.write("x", made(spark, (2, "b", 1.0)))
+    assert [r["id"] for r in s.read("x").collect()] == [2] and s.delete("x") and s.read("x") is None
+    clock, made_of, calls = [0.0], [1], []
+    c = Cached(lambda: calls.append(1) or spark.range(3), 10, lambda: made_of[0], lambda: clock[0])
+    assert c.read().count() == 3 and c.read() is c.read() and len(calls) == 1
+    clock[0] = 9.0
+    c.read()
+    clock[0] = 18.0
+    assert c.held and c.read() and len(calls) == 1
+    made_of[0] = 2
+    assert c.read() and len(calls) == 2
+    clock[0] = 99.0
+    assert not c.held and c.read() and len(calls) == 3
+    c.drop()
+    u = Users(catalog.store)
+    assert u.add("ann", "pw") and not u.add("ann", "x") and u.verify("ann", "pw") and not u.verify("ann", "no") and u.names() == ["ann"]
+    token = u.connect("ann", "pw")
+    assert u.user_of(token) == "ann" and u.connect("ann", "bad") is None and u.password("ann", "new") and u.verify("ann", "new") and not u.password("bob", "x")
+    u.disconnect(token)
+    assert u.user_of(token) is None and u.delete("ann") and not u.delete("ann")
+
+
 def test_specs_are_kept_as_json():
     spec = table_spec("t", [("id", "auto_id"), {"id": "b", "rdbm": "other;2", "valid": "unique"}], match=[1], junk_rules=["b ne 1"], facet_rules=[("b", "eq", "2")], suggest_join=[[0, 1]])
     assert TableSpec.from_json(spec.to_json()) == spec
