@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, text_of
+from .common import bounded_batches, small, stored, text_of
 
 RADIUS = 3
 CELL = 2048
@@ -61,6 +61,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), fp (the 64 bits as a signed long) of every row."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), F.xxhash64(text_of()).alias("h"))
     return rows.mapInArrow(_fingerprints, "doc_id long, h long, fp long")
 
@@ -146,7 +147,7 @@ def links(nodes: DataFrame) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_long(m))).alias("part")) for t, m in enumerate(MASKS)])
     rows = nodes.select("fp", d0.alias("d0"), F.explode(keys).alias("k")).select("k.t", "k.part", "d0", "fp")
     many = rows.groupBy("t", "part").agg(F.count("*").alias("n")).filter(F.col("n") > CELL)
-    rows = rows.join(small(many), ["t", "part"], "left").withColumn("cells", F.ceil(F.coalesce("n", F.lit(1)) / CELL).cast("int"))
+    rows = rows.join(small(stored(many, "large-keys")), ["t", "part"], "left").withColumn("cells", F.ceil(F.coalesce("n", F.lit(1)) / CELL).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("c0"), F.greatest(F.col("own"), o).alias("c1")))
     rows = rows.withColumn("own", own).select("t", "part", "d0", "fp", F.explode(pairs).alias("c")).select("t", "part", "c.c0", "c.c1", "d0", "fp")
@@ -174,7 +175,8 @@ def components(edges: DataFrame) -> DataFrame:
         if new == sign:
             break
         sign = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    own = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(own)
 
 
 def hexadecimal(fp: Column) -> Column:
