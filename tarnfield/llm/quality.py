@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from .common import crc_mod, text_of
+from .common import bounded_batches, crc_mod, text_of
 
 MAX_ROWS = 4000
 N_FEATURES = 16 + 129
@@ -107,6 +107,7 @@ def _sampled(rows: DataFrame, n: int, most: int, salt: int) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = MAX_ROWS) -> Model:
     """Fit on rows for which `learnable`, an expression of doc_id, holds."""
+    bounded_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(F.col("doc_id").isNotNull() & learnable)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("q")).filter(F.col("q").isNotNull() & learnable)
     n_known, n_good = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("q") == 1, 1)), F.lit(0))).first()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import bounded_batches, text_of
 
 CHAIN = 2
 ANCHORS = frozenset(
@@ -115,6 +115,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def neighbours_compared(docs: DataFrame) -> DataFrame:
     """The fingerprint of each text, and of its edited text, whose last half is replaced by the next document's start."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     cuts = src.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
@@ -156,6 +157,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([written(signatures(t)) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import crc_mod, text_of
+from .common import bounded_batches, crc_mod, text_of
 
 MAX_ROWS = 8000
 TERMS = 512
@@ -33,6 +33,8 @@ MIN_CHI = 60.0
 K = 15
 BLOCK = 64
 PULL = 0.5
+#: Votes that a Python worker remembers, as copies of a text have the same.
+MEMO = 4000
 
 
 class Matcher:
@@ -141,7 +143,7 @@ class Index:
         if key not in self.memo:
             v, place = self.vote(*self.vector(counts))
             v = min(max(v, 1e-3), 1 - 1e-3)
-            if len(self.memo) > 50_000:
+            if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[key] = (1 / (1 + math.exp(-(self.slope * math.log(v / (1 - v)) + self.shift))), self.ids[place].tolist())
         return self.memo[key]
@@ -165,6 +167,7 @@ def examples(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: in
 
 
 def build(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = MAX_ROWS) -> Index:
+    bounded_batches(docs.sparkSession)
     own = examples(docs, labels, learnable, max_rows)
     n, n_toxic = own.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import bounded_batches, scratch, stored
 
 MIN_REVISIT = 100
 FILE_RECORDS = 2000
@@ -127,6 +127,7 @@ def _parsed(keep_block: bool):
 
 def read(spark: SparkSession, folder: str, keep_block: bool = True) -> DataFrame:
     """A row for each record of the folder's archives; keep_block False leaves out all blocks but metadata's."""
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
     return files.mapInArrow(_parsed(keep_block), _FIELDS)
 
