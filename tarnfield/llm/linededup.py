@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small, text_of
+from .common import ascii_lower, small, stored, text_of
 
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -32,7 +32,7 @@ def frequent_keys(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = 1, min_docs: int = 10) -> DataFrame:
     """doc_id, text (what is kept), n_lines, n_dropped."""
     src = docs.select("doc_id", text_of().alias("t"))
-    hot = small(frequent_keys(docs, min_chars, min_docs))
+    hot = small(stored(frequent_keys(docs, min_chars, min_docs), "frequent-lines"))
     lines = src.select("doc_id", F.xxhash64("t").alias("h"), F.posexplode(_keys(F.col("t"), min_chars)).alias("pos", "k")).filter("k is not null")
     # equal rows have equal lines, so (doc_id, hash of the text) may stand for several rows
     gone = (
