@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import bounded_batches, text_of
 
 RULES = ("start", "end", "majority")
 
@@ -85,6 +85,7 @@ _OUT = "doc_id long, n_tokens long, n_sections long, n_crossing long, section_to
 def _run(rows: DataFrame, tokenizer: str, rule: str) -> DataFrame:
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
+    bounded_batches(rows.sparkSession)
     return rows.mapInArrow(_attributed(tokenizer, rule), _OUT)
 
 

@@ -1,4 +1,4 @@
-"""Token ids of whole texts with the tokenizers library, each distinct space-separated unit encoded once per worker.
+"""Token ids of whole texts with the tokenizers library, each distinct space-separated unit encoded once while it is held.
 
 Byte-level pre-tokenisation never joins characters across a single space or line feed that stands before or behind other
 text, so such a text's ids are those of its units in order. Texts with other white space, and tokenizers of other kinds,
@@ -10,16 +10,31 @@ from __future__ import annotations
 import json
 import sys
 from array import array
+from collections.abc import Iterable
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space besides the blank and the line feed, in any of the libraries' definitions.
 _OTHER = [c for c in map(chr, range(0x3001)) if (c.isspace() or c in "\x00᠎​﻿") and c not in " \n"]
+_ODD = "  |\n\n| \n| $|[" + "".join(f"\\x{{{ord(c):x}}}" for c in _OTHER) + "]"
+
+#: The characters by which byte-level vocabularies write bytes: printable ones themselves, the others from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def _raw(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder != "little":
+        a.byteswap()
+    return a.tobytes()
 
 
 class UnitEncoder:
-    def __init__(self, path: str, max_units: int = 600_000):
+    def __init__(self, path: str, max_units: int = 800_000):
         from tokenizers import Tokenizer
 
         with open(path) as f:
@@ -41,47 +56,76 @@ class UnitEncoder:
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found] if sys.byteorder == "little" else [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [_raw(e.ids) for e in found]
 
-    @staticmethod
-    def _split(text: str) -> list[str] | None:
-        if "  " in text or "\n\n" in text or " \n" in text or text[-1:] == " " or any(c in text for c in _OTHER):
-            return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    def _together(self, units: list[str]) -> Iterable[tuple[str, bytes]]:
+        """Units that begin with a blank as one text, whose ids are cut where the units end."""
+        raw = self._plain(["".join(units)])[0]
+        ends = np.cumsum(self.n_bytes[np.frombuffer(raw, dtype="<u4")])
+        cuts = (4 * (np.searchsorted(ends, np.cumsum([len(u.encode()) for u in units])) + 1)).tolist()
+        return zip(units, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True)
 
     def _learn(self, new: list[str]) -> None:
-        """Encode new units; a comma or full stop behind a letter is always a token's start, so it is put behind the rest."""
-        if len(self.units) + len(new) > self.max_units:
+        """Encode new units. Letters behind at most one blank are one pre-token, which the model takes as it is; a comma or
+        full stop behind a letter is always a token's start, so it is put behind the rest."""
+        known, tokenize, rest = self.units, self.tokenizer.model.tokenize, []
+        marks = {mark: self._plain([mark])[0] for mark in ",."}
+        for u in new:
+            ended = u[-1] in marks and u[-2:-1].isalpha()
+            base = u[:-1] if ended else u
+            raw = known.get(base)
+            if raw is None:
+                if not base.isalpha() and not (base[0] == " " and base[1:].isalpha()):
+                    rest.append(u)
+                    continue
+                if base.isascii():
+                    written = "\u0120" + base[1:] if base[0] == " " else base
+                else:
+                    written = base.encode().decode("latin-1").translate(_LETTERS)
+                raw = known[base] = _raw([t.id for t in tokenize(written)])
+            if ended:
+                known[u] = raw + marks[u[-1]]
+        spaced = [u for u in rest if u[0] == " " and len(u) > 1]
+        other = [u for u in rest if u[0] != " " or len(u) == 1]
+        known.update(zip(other, self._plain(other), strict=True))
+        for a in range(0, len(spaced), 20_000):
+            known.update(self._together(spaced[a : a + 20_000]))
+
+    def _values(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units."""
+        known = self.units
+        if len(known) + len(units) > self.max_units:
             # units met first are the frequent ones
-            self.units = dict(islice(self.units.items(), self.max_units // 2)) | {"": b""}
-        ended = [u for u in new if len(u) > 2 and u[-1] in ",." and u[-2].isalpha()]
-        bases = {u[:-1] for u in ended}.union(set(new).difference(ended), ",.").difference(self.units)
-        self.units.update(zip(bases, self._plain(list(bases)), strict=True))
-        get = self.units.__getitem__
-        self.units.update([(u, get(u[:-1]) + get(u[-1])) for u in ended])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.by_unit:
-            return self._plain(texts)
-        split = [self._split(t) for t in texts]
-        need = set().union(*(s for s in split if s is not None))
-        if len(need) + 1 > self.max_units // 2:
-            if len(texts) == 1:
-                return self._plain(texts)
-            half = len(texts) // 2
-            return self.encode(texts[:half]) + self.encode(texts[half:])
-        if new := list(need - self.units.keys()):
-            before = len(self.units)
+            self.units = known = dict(islice(known.items(), self.max_units // 2)) | {"": b""}
+        if new := [u for u in units if u not in known]:
             self._learn(new)
-            if len(self.units) < before and (lost := list(need - self.units.keys())):
-                self._learn(lost)
-        odd = [i for i, s in enumerate(split) if s is None]
-        get = self.units.__getitem__
-        out = [b"".join(map(get, s)) if s is not None else b"" for s in split]
-        for i, ids in zip(odd, self._plain([texts[i] for i in odd]) if odd else [], strict=True):
-            out[i] = ids
-        return out
+        return list(map(known.__getitem__, units))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        Units are split off and made distinct by Arrow; the ids of a batch are gathered from its distinct units' ids."""
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not self.by_unit or not len(col):
+            return self._plain(col.to_pylist())
+        odd = pc.match_substring_regex(col, _ODD).to_numpy(zero_copy_only=False).astype(bool)
+        even = col.filter(pa.array(~odd))
+        marked = pc.replace_substring(pc.replace_substring(even, " ", "\0 "), "\n", "\0\n\0")
+        lists = pc.split_pattern(marked, "\0")
+        units = lists.flatten().dictionary_encode()
+        values = self._values(units.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, values), dtype="i4", count=len(values)) >> 2
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        codes = units.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[codes]
+        before = np.concatenate(([0], np.cumsum(counts, dtype="i8")))
+        source = np.arange(before[-1], dtype="i4")  # a batch has fewer than 2**31 ids
+        source += np.repeat((starts[codes] - before[:-1]).astype("i4"), counts)
+        raw = np.frombuffer(b"".join(values), dtype="<u4")[source].tobytes()
+        ends = (4 * before[np.diff(lists.offsets.to_numpy()).cumsum()]).tolist()
+        found = iter([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+        plain = iter(self._plain(col.filter(pa.array(odd)).to_pylist()) if odd.any() else [])
+        return [next(plain) if o else next(found) for o in odd.tolist()]
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import bounded_batches, scratch, stored
 
 BLOCK = 65_536
 _HEAD = struct.Struct("<4sBBBBIIII")
@@ -131,11 +131,11 @@ def _blocks(path: str, end_id: int, mode: str):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["shard", "chunk", "first", "n_ids", "n_bytes", "blob"])
 
         for b in batches:
-            for a in range(0, b.num_rows, 1024):
-                part = b.slice(a, 1024)
+            for a in range(0, b.num_rows, 2500):
+                part = b.slice(a, 2500)
                 ids = part.column(0).to_pylist()
                 out = []
-                for doc_id, raw in zip(ids, enc.encode(part.column(1).to_pylist()), strict=True):
+                for doc_id, raw in zip(ids, enc.encode(part.column(1)), strict=True):
                     n = len(raw) // 4 + 1
                     at = len(buffer) // 4
                     buffer += raw + end
@@ -157,6 +157,7 @@ def _blocks(path: str, end_id: int, mode: str):
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, mode: str = "byte") -> str:
     """Encode doc_id, text of every row and write the dataset into the folder; the folder's name is returned."""
     spark = docs.sparkSession
+    bounded_batches(spark, 2500)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
