@@ -1,7 +1,8 @@
 """Mixing to target weights by soft membership, with DataFrame functions only.
 
-1. A labelled table teaches a naive Bayes classifier. A document's traits are its words, the words' beginnings of five
-   letters, the forms of its blank-separated parts (letters as A or a) and how much it repeats itself, all as 64-bit hashes;
+1. A labelled table teaches a naive Bayes classifier. A document's traits are its lower-case words (its
+   blank-separated parts without MARKS around them), the characters that its parts end with, and in coarse steps how many
+   of its different parts end with one of the SIGNS and how much it repeats itself;
    the TRAITS most telling ones (chi-square over the labelled rows' document counts) get a weight for each domain (Bernoulli
    model: what is absent counts too). Only traits that speak for another domain than the largest are taken: a short text that
    has none of them is the largest domain's.
@@ -22,6 +23,7 @@ doc_id is rated like any other. With no labelled rows the posterior is uniform.
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,9 @@ MIN_CHI = 60.0
 MIN_ROWS = 5
 STEPS = 25
 SLACK = 0.1
+MARKS = ".,;:!?\"'()[]{}#$%&*|<>=+-_/~^@`"
+SIGNS = "!?#$%&*|<>=+_/~^@"
+_BLANKS = "\n\t\r"
 TARGETS = {"good": 0.9, "low": 0.07, "toxic": 0.03}
 
 
@@ -43,35 +48,39 @@ def domain_of() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
 
 
-def _traits(text: Column) -> Column:
-    """Hashed traits of a text, distinct."""
-    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
-    begin = F.transform(F.filter(words, lambda w: F.char_length(w) > 5), lambda w: F.substring(w, 1, 5))
-    parts = F.split(text, r"\s+")
-    forms = F.array_distinct(F.split(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}+", "A"), r"\p{Ll}+", "a"), r"\s+"))
-    fresh = F.floor(F.size(F.array_distinct(parts)) * 10 / F.size(parts))
-    hashed = lambda a, k: F.transform(a, lambda w: F.xxhash64(F.lit(k), w))
-    repeat = F.xxhash64(F.lit(4), fresh, F.size(parts) > 20)
-    return F.array_distinct(F.concat(hashed(words, 1), hashed(F.array_distinct(begin), 2), hashed(forms, 3), F.array(repeat)))
+def _parts(text: Column) -> Column:
+    """What stands between blanks, tabs, line feeds and carriage returns; a literal separator is split without a pattern."""
+    return F.split(reduce(lambda c, b: F.replace(c, F.lit(b), F.lit(" ")), _BLANKS, text), " ")
 
 
-def n_words(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("double")
+def with_traits(df: DataFrame, text: Column, **keep: Column) -> DataFrame:
+    """`keep`, t (number of words) and traits (distinct strings). Each step is a projection of its own, as a function with a
+    lambda is worked out anew wherever it stands; parts are made unlike first, so that each is looked at once."""
+    df = df.select(*[c.alias(f"k_{n}") for n, c in keep.items()], _parts(F.lower(text)).alias("parts"))
+    own = [f"k_{n}" for n in keep]
+    df = df.select(*own, F.array_distinct("parts").alias("unlike"), F.size("parts").alias("n"), F.size(F.array_remove("parts", "")).cast("double").alias("t"))
+    df = df.select(*own, "t", "n", "unlike", F.transform("unlike", lambda w: F.substring(w, -1, 1)).alias("ends"))
+    words = F.array_distinct(F.transform("unlike", lambda w: F.trim(w, F.lit(MARKS))))
+    ends = F.transform(F.array_intersect("ends", F.lit(list(SIGNS))), lambda e: F.concat(F.lit(" end "), e))
+    joined = F.array_join("ends", "")
+    signs = F.octet_length(joined) - F.octet_length(F.regexp_replace(joined, "[" + re.escape(SIGNS) + "]", ""))
+    share = F.concat(F.lit(" signs "), (signs * 8 / F.size("ends")).cast("int").cast("string"))
+    fresh = F.concat_ws(" ", F.lit(" fresh"), F.floor(F.size("unlike") * 10 / F.col("n")).cast("string"), F.col("n") > 20)
+    return df.select(*[F.col(f"k_{n}").alias(n) for n in keep], "t", F.concat(words, ends, F.array(share, fresh)).alias("traits"))
 
 
 class Classifier:
-    def __init__(self, domains: list[str], prior: dict[str, float], weights: dict[int, dict[str, float]], base: dict[str, float] | None = None):
+    def __init__(self, domains: list[str], prior: dict[str, float], weights: dict[str, dict[str, float]], base: dict[str, float] | None = None):
         self.domains, self.prior, self.weights, self.base = domains, prior, weights, base or {}
 
-    def posterior(self, text: Column) -> Column:
+    def posterior(self, traits: Column) -> Column:
         """A struct with the log of prior times likelihood of each domain (of an untaught classifier: of the prior)."""
         order = sorted(self.weights)
         if not order:
             return F.struct(*[F.lit(math.log(self.prior[k])).alias(k) for k in self.domains])
-        listed = lambda xs, end: F.expr(f"array({','.join(f'{x}{end}' for x in xs)})")
-        known = F.expr("array(" + ",".join(f"{b}L" if b > -(1 << 63) else "-9223372036854775807L - 1L" for b in order) + ")")
-        found = F.transform(F.array_intersect(_traits(text), known), lambda b: F.array_position(known, b).cast("int") - 1)
-        weights = {k: listed([f"{self.weights[b][k]:.6f}" for b in order], "D") for k in self.domains}
+        known = F.lit(order)
+        found = F.transform(F.array_intersect(traits, known), lambda b: F.array_position(known, b).cast("int") - 1)
+        weights = {k: F.lit([round(self.weights[b][k], 6) for b in order]) for k in self.domains}
         start = F.struct(*[F.lit(self.base[k]).alias(k) for k in self.domains])
         # one pass that sums for all domains: a function with a lambda is evaluated anew wherever it stands
         sums = F.aggregate(found, start, lambda acc, s: F.struct(*[(acc[k] + F.get(weights[k], s)).alias(k) for k in self.domains]))
@@ -85,13 +94,14 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: in
     if share < 1:
         known = known.filter(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(known), "doc_id")  # bounded by max_rows
-    rows = rows.select("domain", _traits(F.col("text")).alias("ts"))
+    rows = with_traits(rows, F.col("text"), domain=F.col("domain")).withColumnRenamed("traits", "ts")
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     n = sum(sizes.values())
     prior = {k: (sizes.get(k, 0) + 1) / (n + len(domains)) for k in domains}
     if not n:
         return Classifier(domains, prior, {})
-    counts = rows.select("domain", F.explode("ts").alias("b")).groupBy("b").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("domain") == k, 1)).alias(f"n_{k}") for k in domains])
+    # the outer form, as for the inner one Spark would ask beforehand whether the traits are empty, and so make them twice
+    counts = rows.select("domain", F.explode_outer("ts").alias("b")).groupBy("b").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("domain") == k, 1)).alias(f"n_{k}") for k in domains])
 
     def chi(k: str) -> Column:
         size = sizes.get(k, 0)
@@ -110,9 +120,10 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: in
     return Classifier(domains, prior, weights, {k: math.log(prior[k]) + absent[k] for k in domains})
 
 
-def with_posteriors(docs: DataFrame, model: Classifier, keep: list[Column]) -> DataFrame:
+def with_posteriors(docs: DataFrame, model: Classifier, **keep: Column) -> DataFrame:
     """`keep` and p_<domain>, t of every row."""
-    scores = docs.select(*keep, n_words(text_of()).alias("t"), model.posterior(text_of()).alias("l"))
+    traits = with_traits(docs, text_of(), **keep)
+    scores = traits.select(*keep, "t", model.posterior(F.col("traits")).alias("l"))
     top = F.greatest(*[F.col("l")[k] for k in model.domains])
     parts = {k: F.exp(F.col("l")[k] - top) for k in model.domains}
     total = reduce(lambda a, b: a + b, parts.values())
@@ -158,24 +169,24 @@ def copies(r: Column, *key: Column, slack: float = SLACK) -> Column:
     return F.when(F.abs(r - 1) <= slack, 1).otherwise(F.floor(r + even)).cast("int")
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, keep: list[Column], targets: dict[str, float], anchor: str):
+def _fitted(docs: DataFrame, labels: DataFrame, keep: dict[str, Column], targets: dict[str, float], anchor: str):
     """`keep`, doc_id, h, t, p_<domain> of every row as a written table, and its rate; texts are classified once."""
     domains = list(targets)
     model = learn(docs, labels.select("doc_id", domain_of().alias("domain")), domains)
-    key = [*keep, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h")]
-    table = stored(with_posteriors(docs, model, key), "posteriors")
+    key = {"doc_id": F.col("doc_id").cast("long"), "h": F.xxhash64(text_of())}
+    table = stored(with_posteriors(docs, model, **keep, **key), "posteriors")
     steps, _ = fit(table, domains, targets, anchor)
     return domains, table.withColumn("rate", rate(domains, steps))
 
 
 def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "good") -> DataFrame:
     """doc_id, n_words, p_<domain>, rate, copies for every row."""
-    domains, out = _fitted(docs, labels, [], targets, anchor)
+    domains, out = _fitted(docs, labels, {}, targets, anchor)
     return out.select("doc_id", F.col("t").cast("long").alias("n_words"), *[f"p_{k}" for k in domains], "rate", copies(F.col("rate"), F.col("doc_id"), F.col("h")).alias("copies"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "good") -> DataFrame:
     """The rows of docs, all columns, each as often as its copies."""
-    _, out = _fitted(docs, labels, [F.struct(*docs.columns).alias("row")], targets, anchor)
+    _, out = _fitted(docs, labels, {"row": F.struct(*docs.columns)}, targets, anchor)
     n = copies(F.col("rate"), F.col("doc_id"), F.col("h"))
     return out.withColumn("copies", n).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
