@@ -7,12 +7,14 @@
    model: what is absent counts too). Only traits that speak for another domain than the largest are taken: a short text that
    has none of them is the largest domain's.
 2. Every document gets its posterior probability of each domain, p, and its number of words, t.
-3. Rates r >= 0, one for each document, are fitted by projected gradient descent from r = 1 to the least squares of
-   sum(r t p_k) - T_k over the domains k, each square divided by the domain's tokens. A step is r <- max(0, r - sum_k p_k
-   g_k), with one vector g for all documents; so a document's rate follows from p and the short list of vectors, and a step
-   is one aggregation over the stored table of p and t that gives as many numbers as there are domains.
-
-T: the targets' shares of a total that leaves the anchor domain's expected tokens as they are. Copies of a document are its
+3. Rates r >= 0, one for each document, are those nearest to 1 (squares weighted by t) at which sum(r t p_k) is T_k for each
+domain k: r = max(0, 1 - sum_k p_k g_k), with one vector g for all documents, found by Newton's method on the small system
+of the domains. An evaluation is one aggregation over the stored table of p and t that gives a few numbers for each pair of
+domains. Where no rates meet the targets, the misses' squares, each divided by the domain's tokens, are least; goal and
+totals are then logged as a warning. Domains that are no document's most probable one have no target (also logged).
+
+T: the shares of the other domains' targets in a total that leaves the anchor domain's expected tokens as they are (without
+the anchor: all tokens). Copies of a document are its
 rate rounded at random by a hash of doc_id (and of the text); rates within SLACK of 1 are one copy.
 
 TRAIN_ROWS bounds, in expectation, the labelled rows that teach (by a hash of doc_id); all else covers all rows. Null and
@@ -22,20 +24,25 @@ doc_id is rated like any other. With no labelled rows the posterior is uniform.
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_of
 
+log = logging.getLogger(__name__)
+
 TRAIN_ROWS = 20_000
 TRAITS = 256
 MIN_CHI = 60.0
 MIN_ROWS = 5
-STEPS = 25
+#: Weight of a miss against the distance from 1: so small that targets which can be met are.
+SOFT = 1e-6
 SLACK = 0.1
 MARKS = ".,;:!?\"'()[]{}#$%&*|<>=+-_/~^@`"
 SIGNS = "!?#$%&*|<>=+_/~^@"
@@ -145,23 +152,65 @@ def rate(domains: list[str], steps: list[list[float]]) -> Column:
     return F.aggregate(moves, start, step, lambda acc: acc["r"])
 
 
-def fit(table: DataFrame, domains: list[str], targets: dict[str, float], anchor: str, most: int = STEPS, tolerance: float = 1e-4) -> tuple[list[list[float]], dict]:
-    """The steps' vectors, and the totals reached; table has t and p_<domain>, and is read once for each step."""
-    def sums(r: Column) -> list[float]:
-        rows = table.select(r.alias("r"), "t", *[f"p_{k}" for k in domains])  # the rate is worked out once for all domains
-        return [float(x or 0) for x in rows.agg(*[F.sum(F.col("r") * F.col("t") * F.col(f"p_{k}")) for k in domains]).first()]
-
-    share = {k: targets[k] / sum(targets.values()) for k in domains}
-    size = sums(F.lit(1.0))
-    goal = [share[k] * size[domains.index(anchor)] / share[anchor] for k in domains]
-    steps: list[list[float]] = []
-    now = size
-    for _ in range(most):
-        if sum(abs(a - b) for a, b in zip(now, goal, strict=True)) <= tolerance * max(1.0, sum(goal)):
+def fit(table: DataFrame, domains: list[str], targets: dict[str, float], anchor: str, tolerance: float = 1e-4) -> tuple[list[list[float]], dict]:
+    """The steps' vectors (one), and the totals reached; table has t and p_<domain>, and is read once for each evaluation.
+
+    The rates nearest to 1 (squares weighted by t) that meet the targets are max(0, 1 - sum_k p_k g_k), where g is the
+    least point of the convex h(g) = sum t r(g)^2 / 2 + T g + SOFT sum s_k g_k^2 / 2; Newton's method finds it with a
+    halved step where a whole one doesn't lower h, until the gradient is gone.
+    """
+    held, size = _held(table, domains)
+    at = [i for i, k in enumerate(domains) if k in held]
+    used = [domains[i] for i in at]
+    info = {"size": dict(zip(domains, size, strict=True)), "held": used, "goal": {}, "reached": {}, "met": True}
+    if not used or not sum(targets[k] for k in used):
+        return [], info
+    share = np.array([targets[k] for k in used]) / sum(targets[k] for k in used)
+    s = np.array([size[i] for i in at])
+    goal = share * (s[used.index(anchor)] / share[used.index(anchor)] if anchor in used and targets[anchor] else s.sum())
+    pairs = [(i, j) for i in range(len(at)) for j in range(i, len(at))]
+
+    def spread(g: np.ndarray) -> list[float]:
+        full = [0.0] * len(domains)
+        for i, x in zip(at, g.tolist(), strict=True):
+            full[i] = x
+        return full
+
+    def value(g: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """h, the totals, and the second derivatives of h."""
+        rows = table.select(rate(domains, [spread(g)]).alias("r"), "t", *[f"p_{k}" for k in used])  # the rate is worked out once for all domains
+        p = [F.col(f"p_{k}") for k in used]
+        t, live = F.col("t"), F.when(F.col("r") > 0, F.col("t")).otherwise(0.0)
+        got = rows.agg(F.sum(t * F.col("r") * F.col("r")), *[F.sum(F.col("r") * t * x) for x in p], *[F.sum(live * p[i] * p[j]) for i, j in pairs]).first()
+        second = np.diag(SOFT * s)
+        for (i, j), x in zip(pairs, got[len(at) + 1 :], strict=True):
+            second[i, j] += x
+            second[j, i] += x if i != j else 0.0
+        return got[0] / 2 + float(goal @ g) + SOFT * float(s @ g**2) / 2, np.array(got[1 : len(at) + 1]), second
+
+    g = np.zeros(len(at))
+    h, now, second = value(g)
+    while True:
+        slope = goal - now + SOFT * s * g
+        if np.abs(slope).sum() <= 0.01 * tolerance * goal.sum():
             break
-        steps.append([(a - b) / s if s > 0 else 0.0 for a, b, s in zip(now, goal, size, strict=True)])
-        now = sums(rate(domains, steps))
-    return steps, {"size": size, "goal": goal, "reached": now}
+        step = -np.linalg.solve(second, slope)
+        length, fall = 1.0, float(slope @ step)
+        while (new := value(g + length * step))[0] > h + 1e-4 * length * fall and length > 1e-9:
+            length /= 2
+        if new[0] >= h:  # no lower value can be told from h in doubles
+            break
+        g, (h, now, second) = g + length * step, new
+    info |= {"goal": dict(zip(used, goal.tolist(), strict=True)), "reached": dict(zip(used, now.tolist(), strict=True)), "met": bool(np.abs(now - goal).sum() <= tolerance * goal.sum())}
+    return [spread(g)], info
+
+
+def _held(table: DataFrame, domains: list[str]) -> tuple[set[str], list[float]]:
+    """The domains that are the most probable one of a row with words, and the expected tokens of all."""
+    top = F.greatest(*[F.col(f"p_{k}") for k in domains], F.lit(0.0))
+    got = table.agg(*[F.sum(F.col("t") * F.col(f"p_{k}")) for k in domains], *[F.max((F.col("t") > 0) & (F.col(f"p_{k}") >= top)) for k in domains]).first()
+    n = len(domains)
+    return {k for k, x in zip(domains, got[n:], strict=True) if x}, [float(x or 0) for x in got[:n]]
 
 
 def copies(r: Column, *key: Column, slack: float = SLACK) -> Column:
@@ -175,7 +224,11 @@ def _fitted(docs: DataFrame, labels: DataFrame, keep: dict[str, Column], targets
     model = learn(docs, labels.select("doc_id", domain_of().alias("domain")), domains)
     key = {"doc_id": F.col("doc_id").cast("long"), "h": F.xxhash64(text_of())}
     table = stored(with_posteriors(docs, model, **keep, **key), "posteriors")
-    steps, _ = fit(table, domains, targets, anchor)
+    steps, info = fit(table, domains, targets, anchor)
+    if missing := sorted(set(domains) - set(info["held"])):
+        log.warning("mixing: no document is of %s; the targets are those of the other domains", ", ".join(missing))
+    if not info["met"]:
+        log.warning("mixing: targets can't be reached: goal %s, reached %s", info["goal"], info["reached"])
     return domains, table.withColumn("rate", rate(domains, steps))
 
 

@@ -171,3 +171,40 @@ def test_no_labelled_rows_change_nothing(spark):
     df = cases.documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {round(r["p_good"], 6) for r in mixing.rated(df, none).collect()} == {round(1 / 3, 6)}
+
+
+def _soft(spark):
+    """Many good rows, soft low ones, and a tiny toxic domain in a few rows."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        low = float(rng.uniform(0.3, 0.7)) if i % 4 == 0 else 1e-6
+        rows.append((float(rng.integers(5, 200)), 1 - low - 1e-7, low, 1e-7))
+    rows += [(20.0, 0.1, 0.2, 0.7)] * 2
+    return spark.createDataFrame(rows, "t double, p_good double, p_low double, p_toxic double"), rows
+
+
+def test_soft_and_tiny_domains_reach_their_targets(spark):
+    df, rows = _soft(spark)
+    steps, info = mixing.fit(df, list(mixing.TARGETS), mixing.TARGETS, "good")
+    rates = [r["rate"] for r in df.select(mixing.rate(list(mixing.TARGETS), steps).alias("rate")).collect()]
+    good = sum(t * g for t, g, *_ in rows)
+    for i, (k, share) in enumerate(mixing.TARGETS.items()):
+        got = sum(r * row[0] * row[i + 1] for r, row in zip(rates, rows, strict=True))
+        assert abs(got - share / 0.9 * good) <= 1e-3 * share / 0.9 * good, (k, got, share / 0.9 * good)
+    assert info["met"] and min(rates) >= 0
+
+
+def test_domains_that_no_row_is_of_have_no_target(spark):
+    df, rows = _soft(spark)
+    steps, info = mixing.fit(df.filter("p_toxic < 0.5"), list(mixing.TARGETS), mixing.TARGETS, "good")
+    assert info["held"] == ["good", "low"] and info["met"] and abs(info["goal"]["low"] / info["goal"]["good"] - 0.07 / 0.9) < 1e-9
+    assert steps[0][2] == 0
+
+
+def test_targets_that_no_rates_meet_are_reported(spark, caplog):
+    df = spark.createDataFrame([(10.0, 0.5, 0.5), (30.0, 0.5, 0.5)], "t double, p_a double, p_b double")
+    steps, info = mixing.fit(df, ["a", "b"], {"a": 0.9, "b": 0.1}, "a")
+    assert not info["met"] and abs(info["reached"]["a"] - (info["goal"]["a"] + info["goal"]["b"]) / 2) < 0.01
+    mixing.rated(cases.documents(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert "can't be reached" in caplog.text

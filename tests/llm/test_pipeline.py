@@ -54,3 +54,27 @@ def test_stages(spark):
 def test_run_gives_the_last_stage(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+
+
+def test_targets_are_reached_on_what_the_mixing_stage_gets(spark):
+    from tarnfield.llm import mixing
+
+    sf_dir = "/root/testdata/sf0.01"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "mixing":
+            break
+        docs = _kept(spark, stage(spark, docs, sf_dir))
+    rows = mixing.rated(docs, table(spark, sf_dir, "labels")).collect()
+    domains = list(mixing.TARGETS)
+    held = {max(domains, key=lambda k: r[f"p_{k}"]) for r in rows if r["n_words"]}
+    size = sum(r["n_words"] * r["p_good"] for r in rows)
+    miss = {}
+    for k in held:
+        goal = mixing.TARGETS[k] / mixing.TARGETS["good"] * size
+        miss[k] = (sum(r["rate"] * r["n_words"] * r[f"p_{k}"] for r in rows) - goal) / sum(r["n_words"] * r[f"p_{k}"] for r in rows)
+    assert "good" in held and "low" in held
+    # targets are met, or no change of any rate brings the totals nearer to them
+    for r in rows:
+        push = sum(r[f"p_{k}"] * miss[k] for k in held)
+        assert push >= -1e-3 and (r["rate"] < 1e-6 or push <= 1e-3), (r, miss)
