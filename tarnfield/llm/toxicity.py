@@ -1,12 +1,13 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, found with a block-max inverted index.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over all terms that the examples have.
 
-Terms are lower-case runs of letters and their beginnings of 4 to 7 letters ("word*"). The index holds the TERMS terms that
-stand out among toxic examples (by chi-square over the examples' document counts); weights are (1 + ln tf) * idf, the idf
-from the counts of all documents, and vectors have length 1 within these terms. A query's K nearest examples are exact:
-examples lie in blocks of BLOCK, each block keeps every term's largest weight, blocks are visited by descending bound and
-the visit ends when the bound is under the K-th best cosine. The vote is the cosine-weighted share of toxic neighbours,
-drawn to the base rate by weight PULL; a logistic fit on the examples' leave-one-out votes makes it a probability. A text
-with none of the terms has the examples' rate for such texts, drawn the same way. Evidence: the neighbours' doc_ids.
+Terms are lower-case runs of letters and their beginnings of 4 to 7 letters ("word*"); none that an example has is left
+out. Weights are (1 + ln tf) * idf * lean: the idf from the counts of all documents, the lean LEAST and, for terms that lean
+toxic, the difference of log-odds between the term's examples and all (the term's count smoothed with PRIOR examples at
+the base rate). Vectors have length 1 within the examples' terms; others meet no example and rank none. A query's K
+nearest examples are exact: the cosine with every example is summed, common terms by a matrix, the others by postings.
+The vote is the cosine-weighted share of toxic neighbours, drawn to the base rate by weight PULL; a logistic fit on the
+examples' leave-one-out votes makes it a probability. A text with none of the examples' terms has the examples' rate for
+such texts, drawn the same way. Evidence: the neighbours' doc_ids.
 
 MAX_ROWS bounds, in expectation, the labelled rows that are examples (chosen by a hash of doc_id); so the index has a
 proven bound and goes to every worker. Document counts and scores cover all rows. Null and empty texts have no terms.
@@ -17,6 +18,8 @@ doc_id, text and toxic are read; labels, lang and source are no inputs of a scor
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,105 +30,132 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 from .common import bounded_batches, crc_mod, text_of
 
 MAX_ROWS = 8000
-TERMS = 512
-MIN_DF = 5
-MIN_CHI = 60.0
 K = 15
+#: Queries that are compared at once.
 BLOCK = 64
+#: Terms that over 1 / DENSE of the examples have are held as rows of a matrix.
+DENSE = 16
 PULL = 0.5
-#: Votes that a Python worker remembers, as copies of a text have the same.
-MEMO = 4000
+#: Examples at the base rate that each term is given besides its own, and what every term weighs at least.
+PRIOR = 5.0
+LEAST = 0.05
+#: Words whose terms a Python worker remembers.
+MEMO = 100_000
+WORD = re.compile(r"[^\W\d_]+")
 
 
 class Matcher:
-    """Counts of the terms in a text, by one pass of an Aho-Corasick automaton."""
+    """Counts of the terms in a text: of each word, and of its beginnings if the word is longer."""
 
     def __init__(self, terms: list[str]):
-        import ahocorasick
-
-        self.auto = ahocorasick.Automaton()
-        own: dict[str, list[tuple[int, bool]]] = {}
-        for i, t in enumerate(terms):
-            own.setdefault(t.rstrip("*"), []).append((i, t.endswith("*")))
-        for stem, uses in own.items():
-            self.auto.add_word(stem, (len(stem), uses))
-        if own:
-            self.auto.make_automaton()
-        self.empty = not own
+        self.place = {t: i for i, t in enumerate(terms)}
+        self.seen: dict[str, list[int]] = {}
+
+    def _of(self, word: str) -> list[int]:
+        if (found := self.seen.get(word)) is None:
+            if len(self.seen) >= MEMO:
+                self.seen.clear()
+            found = self.seen[word] = [i for t in terms_of(word) if (i := self.place.get(t)) is not None]
+        return found
+
+    def arrays(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The terms' numbers, ascending, and how often each stands in the text."""
+        all_of, often = [], []
+        if text and self.place:
+            for w, n in Counter(WORD.findall(text.lower())).items():
+                own = self._of(w)
+                all_of += own
+                often += [n] * len(own)
+        t, at = np.unique(np.array(all_of, dtype="i4"), return_inverse=True)
+        return t, np.bincount(at, often, len(t)).astype("i4")
 
     def counts(self, text: str | None) -> dict[int, int]:
-        found: dict[int, int] = {}
-        if not text or self.empty:
-            return found
-        low = text.lower()
-        n = len(low)
-        for end, (size, uses) in self.auto.iter(low):
-            start = end - size
-            if start >= 0 and low[start].isalpha():
-                continue
-            whole = end + 1 >= n or not low[end + 1].isalpha()
-            for i, begins in uses:
-                if begins != whole:  # a beginning needs a longer word
-                    found[i] = found.get(i, 0) + 1
-        return found
+        t, n = self.arrays(text)
+        return dict(zip(t.tolist(), n.tolist(), strict=True))
+
+
+def terms_of(word: str) -> list[str]:
+    return [word, *[word[:k] + "*" for k in range(4, 8) if len(word) > k]]
 
 
 class Index:
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: list[dict[int, int]]):
+    """Postings of the examples' terms; the terms that over 1 / DENSE of the examples have are rows of a matrix."""
+
+    def __init__(self, terms: list[str], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: list):
         self.terms, self.idf, self.ids, self.labels = terms, idf, ids, labels.astype("f8")
         self.base = (self.labels.sum() + 0.5) / (len(labels) + 1)
-        weights = [self.vector(v) for v in vectors]
-        bare = np.array([not v for v in vectors], dtype=bool)
+        if vectors and isinstance(vectors[0], dict):
+            vectors = [(np.array(sorted(v), dtype="i4"), np.array([v[i] for i in sorted(v)])) for v in vectors]
+        sizes = [len(t) for t, _ in vectors]
+        bare = np.array(sizes) == 0
         self.bare = (self.labels[bare].sum() + PULL * self.base) / (bare.sum() + PULL) if len(labels) else self.base
-        self.blocks = (len(ids) + BLOCK - 1) // BLOCK
-        #: For each term: the blocks that have it, the largest weight in each, and its postings by block.
-        self.bound = np.zeros((len(terms), self.blocks))
-        posts: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for d, (t, w) in enumerate(weights):
-            for i, x in zip(t.tolist(), w.tolist(), strict=True):
-                posts.setdefault((i, d // BLOCK), []).append((d % BLOCK, x))
-        self.posts = {k: (np.array([p[0] for p in v]), np.array([p[1] for p in v])) for k, v in posts.items()}
-        for (i, b), (_, x) in self.posts.items():
-            self.bound[i, b] = x.max()
+        self.ends = np.concatenate(([0], np.cumsum(np.bincount(np.concatenate([np.zeros(0, "i4"), *[t for t, _ in vectors]]), minlength=len(terms)))))
+        # filled in place, example by example: nothing as large is held beside it
+        self.place, self.weight, free = np.zeros(sum(sizes), dtype="i4"), np.zeros(sum(sizes)), self.ends[:-1].copy()
+        for d, v in enumerate(vectors):
+            t, w = self.vector(v)
+            self.place[free[t]], self.weight[free[t]] = d, w
+            free[t] += 1
+        self.matrix: tuple | None = None
         self.slope, self.shift = 1.0, 0.0
-        self.memo: dict[tuple, tuple] = {}
-        self._calibrate(weights)
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), dtype="i8")
-        w = (1 + np.log([counts[i] for i in t.tolist()])) * self.idf[t] if len(t) else np.zeros(0)
+        self._calibrate(vectors)
+        self.matrix = None  # each worker makes its own
+
+    def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
+        """counts: by term, or the terms' numbers, ascending, and their counts."""
+        if isinstance(counts, dict):
+            counts = np.array(sorted(counts), dtype="i4"), np.array([counts[i] for i in sorted(counts)])
+        t, n = counts
+        w = (1 + np.log(n)) * self.idf[t] if len(t) else np.zeros(0)
         return t, w / np.linalg.norm(w) if len(t) else w
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = K, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k examples with the largest positive cosines; ties go to the earlier place."""
-        bounds = w @ self.bound[t]
-        order = np.argsort(-bounds, kind="stable")
-        place, cosine = np.zeros(0, dtype="i8"), np.zeros(0)
-        for b in order.tolist():
-            if bounds[b] <= 0 or len(place) >= k and bounds[b] < cosine[-1] - 1e-12:
-                break
-            acc = np.zeros(BLOCK)
-            for i, q in zip(t.tolist(), w.tolist(), strict=True):
-                if (p := self.posts.get((i, b))) is not None:
-                    acc[p[0]] += q * p[1]
-            at = np.flatnonzero(acc)
-            place, cosine = np.concatenate((place, b * BLOCK + at)), np.concatenate((cosine, acc[at]))
-            if but >= 0:
-                place, cosine = place[place != but], cosine[place != but]
-            best = np.lexsort((place, -np.round(cosine, 12)))[:k]
-            place, cosine = place[best], cosine[best]
-        return place, cosine
-
-    def vote(self, t: np.ndarray, w: np.ndarray, but: int = -1) -> tuple[float, np.ndarray]:
-        place, cosine = self.nearest(t, w, but=but)
-        return float((cosine @ self.labels[place] + PULL * self.base) / (cosine.sum() + PULL)), place
-
-    def _calibrate(self, weights: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def _cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        n = len(self.ids)
+        if self.matrix is None:
+            usual = np.flatnonzero(np.diff(self.ends) > n / DENSE)
+            row, m = np.full(len(self.terms), -1, dtype="i4"), np.zeros((len(usual), n))
+            row[usual] = np.arange(len(usual))
+            for r, i in enumerate(usual.tolist()):
+                m[r, self.place[self.ends[i] : self.ends[i + 1]]] = self.weight[self.ends[i] : self.ends[i + 1]]
+            self.matrix = row, m
+        row, m = self.matrix
+        q, rest = np.zeros((len(queries), len(m))), []
+        for j, (t, w) in enumerate(queries):
+            r = row[t]
+            q[j, r[r >= 0]] = w[r >= 0]
+            rest.append((t[r < 0], w[r < 0]))
+        out = q @ m
+        for j, (t, w) in enumerate(rest):
+            start, size = self.ends[t], self.ends[t + 1] - self.ends[t]
+            at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+            out[j] += np.bincount(self.place[at], self.weight[at] * np.repeat(w, size), minlength=n)
+        return out
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = K, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places and cosines of the k examples with the largest positive cosines; ties go to the earlier place."""
+        found = []
+        for a in range(0, len(queries), BLOCK):
+            for j, c in enumerate(self._cosines(queries[a : a + BLOCK])):
+                if but is not None:
+                    c[but[a + j]] = 0.0
+                floor = np.partition(c, len(c) - k)[len(c) - k] - 1e-11 if len(c) > k else 0.0
+                place = np.flatnonzero((c > 0) & (c >= floor))
+                best = place[np.lexsort((place, -np.round(c[place], 12)))[:k]]
+                found.append((best, c[best]))
+        return found
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        return self.search([(t, w)], k)[0]
+
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> list[tuple[float, np.ndarray]]:
+        return [(float((c @ self.labels[p] + PULL * self.base) / (c.sum() + PULL)), p) for p, c in self.search(queries, but=but)]
+
+    def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Two parameters by Newton's method on leave-one-out votes, with a weak prior on the slope."""
-        own = [d for d, (t, _) in enumerate(weights) if len(t)]
+        own = [d for d, (t, _) in enumerate(vectors) if len(t)]
         if not own or not 0 < self.labels[own].sum() < len(own):
             return
-        v = np.clip([self.vote(*weights[d], but=d)[0] for d in own], 1e-3, 1 - 1e-3)
+        v = np.clip([v for v, _ in (x for a in range(0, len(own), BLOCK) for x in self.votes([self.vector(vectors[d]) for d in own[a : a + BLOCK]], own[a : a + BLOCK]))], 1e-3, 1 - 1e-3)
         x = np.stack((np.log(v / (1 - v)), np.ones(len(v))), axis=1)
         y, theta = self.labels[own], np.array([1.0, 0.0])
         for _ in range(30):
@@ -136,23 +166,13 @@ class Index:
             theta = theta - np.clip(step, -1, 1)
         self.slope, self.shift = max(float(theta[0]), 0.1), float(theta[1])
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        if not counts or not len(self.ids):
-            return float(self.bare), []
-        key = tuple(sorted(counts.items()))
-        if key not in self.memo:
-            v, place = self.vote(*self.vector(counts))
+    def scores(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        out: list[tuple[float, list[int]]] = [(float(self.bare), [])] * len(counts)
+        some = [j for j, (t, _) in enumerate(counts) if len(t)] if len(self.ids) else []
+        for j, (v, place) in zip(some, self.votes([self.vector(counts[j]) for j in some]), strict=True):
             v = min(max(v, 1e-3), 1 - 1e-3)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[key] = (1 / (1 + math.exp(-(self.slope * math.log(v / (1 - v)) + self.shift))), self.ids[place].tolist())
-        return self.memo[key]
-
-
-def _terms(text: Column) -> Column:
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1)))
-    begin = lambda k: F.transform(F.filter(words, lambda w: F.char_length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
-    return F.array_distinct(F.concat(words, *[begin(k) for k in range(4, 8)]))
+            out[j] = (1 / (1 + math.exp(-(self.slope * math.log(v / (1 - v)) + self.shift))), self.ids[place].tolist())
+        return out
 
 
 def examples(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -168,34 +188,41 @@ def examples(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: in
 
 def build(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = MAX_ROWS) -> Index:
     bounded_batches(docs.sparkSession)
-    own = examples(docs, labels, learnable, max_rows)
-    n, n_toxic = own.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
-    c, d = n_toxic - a, (n - n_toxic) - b
-    chi = n * F.pow(a * d - b * c, 2) / F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d))
-    counts = own.select("y", F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("a"))
-    chosen = counts.filter((F.col("n") >= MIN_DF) & (a * (n - n_toxic) > b * n_toxic)).withColumn("chi", chi).filter(F.col("chi") >= MIN_CHI)
-    terms = [r["term"] for r in chosen.orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
-    found = counted_terms(docs.select(text_of().alias("text")), terms)
-    df = {r["term"]: r["n"] for r in found.select(F.explode(F.map_keys("counts")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # TERMS rows
-    n_docs = docs.count()
-    idf = np.array([math.log((n_docs + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))])
-    rows = counted_terms(own, terms).select("doc_id", "y", "counts").collect()
-    rows.sort(key=lambda r: (r["doc_id"], sorted(r["counts"].items())))
-    return Index(terms, idf, np.array([r["doc_id"] for r in rows], dtype="i8"), np.array([r["y"] for r in rows], dtype="i8"), [dict(r["counts"]) for r in rows])
-
-
-def counted_terms(df: DataFrame, terms: list[str]) -> DataFrame:
-    """df with a column `counts` (term's number -> how often it stands in the column text) in the text's place."""
-    made: dict[str, Matcher] = {}
-
-    @F.arrow_udf("map<int,int>")
-    def of(text: pa.Array) -> pa.Array:
-        if "m" not in made:
-            made["m"] = Matcher(terms)
-        return pa.array([list(made["m"].counts(t).items()) for t in text.to_pylist()], pa.map_(pa.int32(), pa.int32()))
-
-    return df.withColumn("counts", of("text")).drop("text")
+    rows = examples(docs, labels, learnable, max_rows).select("doc_id", "y", "text").collect()  # bounded by max_rows
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    labels_of = np.array([r["y"] for r in rows], dtype="i8")
+    terms = sorted({t for r in rows for w in set(WORD.findall(r["text"].lower())) for t in terms_of(w)})
+    matcher = Matcher(terms)
+    vectors = [matcher.arrays(r["text"]) for r in rows]
+    ids, size = np.array([r["doc_id"] for r in rows], dtype="i8"), len(terms)
+    del rows, matcher
+    n, a = np.zeros(size), np.zeros(size)
+    for (t, _), y in zip(vectors, labels_of.tolist(), strict=True):
+        n[t] += 1
+        a[t] += y
+    base = (labels_of.sum() + 0.5) / (len(ids) + 1)
+    share = (a + PRIOR * base) / (n + PRIOR)
+    lean = np.maximum(np.log(share / (1 - share)) - math.log(base / (1 - base)), 0) + LEAST
+    n_docs, df = docs.count(), np.zeros(size)
+    counted = document_counts(docs.select(text_of().alias("text")), terms).toArrow()  # a row a term
+    df[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    idf = np.log((n_docs + 1) / (df + 1)) + 1
+    return Index(terms, idf * lean, ids, labels_of, vectors)
+
+
+def document_counts(texts: DataFrame, terms: list[str]) -> DataFrame:
+    """term (its number), n: the rows whose text has it; each task counts its own rows first."""
+    def run(batches):
+        matcher, n = Matcher(terms), np.zeros(len(terms), dtype="i8")
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                n[matcher.arrays(t)[0]] += 1
+        at = np.flatnonzero(n)
+        for i in range(0, len(at), 50_000):
+            x = at[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(n[x], pa.int64())], ["term", "n"])
+
+    return texts.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 _SCORE = StructType([StructField("score", DoubleType()), StructField("evidence", ArrayType(LongType())), StructField("n_terms", IntegerType())])
@@ -209,8 +236,12 @@ def score_column(index: Index, text: Column) -> Column:
     def of(text: pa.Array) -> pa.Array:
         if "m" not in made:
             made["m"] = Matcher(index.terms)
-        found = [made["m"].counts(t) for t in text.to_pylist()]
-        got = [index.score(c) for c in found]
+        texts = text.to_pylist()
+        unlike = {t: i for i, t in enumerate(dict.fromkeys(texts))}  # copies have the same answer
+        counts = [made["m"].arrays(t) for t in unlike]
+        answers = index.scores(counts)
+        got = [answers[unlike[t]] for t in texts]
+        found = [counts[unlike[t]][0] for t in texts]
         parts = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([len(c) for c in found], pa.int32())]
         return pa.StructArray.from_arrays(parts, ["score", "evidence", "n_terms"])
 

@@ -208,3 +208,12 @@ def test_targets_that_no_rates_meet_are_reported(spark, caplog):
     assert not info["met"] and abs(info["reached"]["a"] - (info["goal"]["a"] + info["goal"]["b"]) / 2) < 0.01
     mixing.rated(cases.documents(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert "can't be reached" in caplog.text
+
+
+def test_texts_without_toxic_words_have_neighbours_too(spark):
+    """Few examples, so that no word's chi-square is large: every text with words is still searched for."""
+    docs = spark.createDataFrame([(i, f"plain words {'foulword' if i % 10 == 0 else 'kindword'} number") for i in range(40)] + [(100, "plain number"), (101, "foulword"), (102, ""), (103, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, labels).collect()}
+    assert all(len(got[i]["evidence"]) == toxicity.K for i in [*range(40), 100]) and got[102]["evidence"] == got[103]["evidence"] == []
+    assert {i % 10 for i in got[101]["evidence"]} == {0} and got[101]["score"] > got[1]["score"]
