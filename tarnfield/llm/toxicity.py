@@ -1,18 +1,26 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over all terms that the examples have.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over all words that the examples have.
+
+Terms are lower-case runs of letters; none that an example has is left out. A term weighs (1 + ln tf) * idf * lean: the
+idf from the counts of all documents; the lean LEAST and, for terms that lean toxic, the difference of log-odds between the
+term's examples and all (the term's count smoothed with PRIOR examples at the base rate). Without the lean, the accidental
+words that two texts share decide who is near, and votes tell little (README has the figures). Vectors have length 1 within
+the examples' terms; other words meet no example and rank none.
+
+The index is an inverted one with block maxima. Examples that are alike stand together (a few centroids over the most
+widespread terms, then by length) and are cut into blocks of BLOCK. Lists of terms that at most 1 / LONG of the examples
+have are short: a query adds them up first. The long lists are kept by blocks, each with its largest weight; these maxima
+bound what a block's examples can still gain. The FIRST examples with the largest bounds get their exact cosines, and then
+all whose bound reaches the K-th best of those; no other can be a neighbour, so the K nearest are exact.
 
-Terms are lower-case runs of letters and their beginnings of 4 to 7 letters ("word*"); none that an example has is left
-out. Weights are (1 + ln tf) * idf * lean: the idf from the counts of all documents, the lean LEAST and, for terms that lean
-toxic, the difference of log-odds between the term's examples and all (the term's count smoothed with PRIOR examples at
-the base rate). Vectors have length 1 within the examples' terms; others meet no example and rank none. A query's K
-nearest examples are exact: the cosine with every example is summed, common terms by a matrix, the others by postings.
 The vote is the cosine-weighted share of toxic neighbours, drawn to the base rate by weight PULL; a logistic fit on the
 examples' leave-one-out votes makes it a probability. A text with none of the examples' terms has the examples' rate for
 such texts, drawn the same way. Evidence: the neighbours' doc_ids.
 
 MAX_ROWS bounds, in expectation, the labelled rows that are examples (chosen by a hash of doc_id); so the index has a
 proven bound and goes to every worker. Document counts and scores cover all rows. Null and empty texts have no terms.
-Rows with a null doc_id or label are never examples. Without examples of both kinds every score is the base rate. Only
-doc_id, text and toxic are read; labels, lang and source are no inputs of a score.
+Rows with a null doc_id or label are never examples; a doc_id on several rows gives an example for each different text.
+Neighbours with equal cosines: the smaller doc_id first, then the lesser text. Without examples of both kinds every score
+is the base rate. Only doc_id, text and toxic are read; labels, lang and source are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -31,75 +39,101 @@ from .common import bounded_batches, crc_mod, text_of
 
 MAX_ROWS = 8000
 K = 15
-#: Queries that are compared at once.
-BLOCK = 64
-#: Terms that over 1 / DENSE of the examples have are held as rows of a matrix.
-DENSE = 16
+BLOCK = 32
+#: Examples that are looked at before any is ruled out.
+FIRST = 64
+#: Lists of terms that over 1 / LONG of the examples have are read by blocks.
+LONG = 8
 PULL = 0.5
 #: Examples at the base rate that each term is given besides its own, and what every term weighs at least.
 PRIOR = 5.0
 LEAST = 0.05
-#: Words whose terms a Python worker remembers.
-MEMO = 100_000
+#: Centroids that the examples are ordered by, and the most widespread terms that these see.
+CENTROIDS, SEEN = 16, 256
 WORD = re.compile(r"[^\W\d_]+")
 
 
 class Matcher:
-    """Counts of the terms in a text: of each word, and of its beginnings if the word is longer."""
+    """Counts of the index's terms in a text."""
 
     def __init__(self, terms: list[str]):
         self.place = {t: i for i, t in enumerate(terms)}
-        self.seen: dict[str, list[int]] = {}
-
-    def _of(self, word: str) -> list[int]:
-        if (found := self.seen.get(word)) is None:
-            if len(self.seen) >= MEMO:
-                self.seen.clear()
-            found = self.seen[word] = [i for t in terms_of(word) if (i := self.place.get(t)) is not None]
-        return found
 
     def arrays(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The terms' numbers, ascending, and how often each stands in the text."""
-        all_of, often = [], []
-        if text and self.place:
-            for w, n in Counter(WORD.findall(text.lower())).items():
-                own = self._of(w)
-                all_of += own
-                often += [n] * len(own)
-        t, at = np.unique(np.array(all_of, dtype="i4"), return_inverse=True)
-        return t, np.bincount(at, often, len(t)).astype("i4")
+        get = self.place.get
+        found = [(i, n) for w, n in Counter(WORD.findall(text.lower())).items() if (i := get(w)) is not None] if text and self.place else []
+        t, n = np.array(found, dtype="i4").reshape(-1, 2).T
+        order = np.argsort(t)
+        return t[order], n[order]
 
     def counts(self, text: str | None) -> dict[int, int]:
         t, n = self.arrays(text)
         return dict(zip(t.tolist(), n.tolist(), strict=True))
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *[word[:k] + "*" for k in range(4, 8) if len(word) > k]]
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] numbers, then those from start[1] on, ..."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _alike(vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, length: np.ndarray) -> np.ndarray:
+    """The examples' numbers in an order that has like ones together. vectors: terms and weights of length 1."""
+    n = len(vectors)
+    usual = np.argsort(-np.bincount(np.concatenate([t for t, _ in vectors]), minlength=n_terms), kind="stable")[:SEEN]
+    row, m = np.full(n_terms, -1, dtype="i4"), np.zeros((n, len(usual)), dtype="f4")
+    row[usual] = np.arange(len(usual))
+    for d, (t, w) in enumerate(vectors):
+        r = row[t]
+        m[d, r[r >= 0]] = w[r >= 0]
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    centre = m[np.linspace(0, n - 1, min(n, CENTROIDS)).astype("i8")]
+    for _ in range(6):
+        near = np.argmax(m @ centre.T, axis=1)
+        for c in np.unique(near).tolist():
+            mean = m[near == c].mean(axis=0)
+            centre[c] = mean / max(float(np.linalg.norm(mean)), 1e-9)
+    return np.lexsort((np.arange(n), length, near))
 
 
 class Index:
-    """Postings of the examples' terms; the terms that over 1 / DENSE of the examples have are rows of a matrix."""
+    """Block-max postings of the examples. ids and labels are those of the examples in order of doc_id and text."""
 
     def __init__(self, terms: list[str], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: list):
-        self.terms, self.idf, self.ids, self.labels = terms, idf, ids, labels.astype("f8")
+        self.words, self.n_terms, self.idf, self.ids, self.labels = "\n".join(terms), len(terms), idf, ids, labels.astype("f8")
         self.base = (self.labels.sum() + 0.5) / (len(labels) + 1)
-        if vectors and isinstance(vectors[0], dict):
-            vectors = [(np.array(sorted(v), dtype="i4"), np.array([v[i] for i in sorted(v)])) for v in vectors]
-        sizes = [len(t) for t, _ in vectors]
-        bare = np.array(sizes) == 0
-        self.bare = (self.labels[bare].sum() + PULL * self.base) / (bare.sum() + PULL) if len(labels) else self.base
-        self.ends = np.concatenate(([0], np.cumsum(np.bincount(np.concatenate([np.zeros(0, "i4"), *[t for t, _ in vectors]]), minlength=len(terms)))))
-        # filled in place, example by example: nothing as large is held beside it
-        self.place, self.weight, free = np.zeros(sum(sizes), dtype="i4"), np.zeros(sum(sizes)), self.ends[:-1].copy()
-        for d, v in enumerate(vectors):
-            t, w = self.vector(v)
-            self.place[free[t]], self.weight[free[t]] = d, w
-            free[t] += 1
-        self.matrix: tuple | None = None
         self.slope, self.shift = 1.0, 0.0
-        self._calibrate(vectors)
-        self.matrix = None  # each worker makes its own
+        own = [self.vector(v) for v in vectors]
+        some = np.array([d for d, (t, _) in enumerate(own) if len(t)], dtype="i4")
+        bare = np.ones(len(own), dtype=bool)
+        bare[some] = False
+        self.bare = (self.labels[bare].sum() + PULL * self.base) / (bare.sum() + PULL) if len(labels) else self.base
+        length = np.array([len(own[d][0]) for d in some.tolist()])
+        order = some[_alike([own[d] for d in some.tolist()], len(terms), length)] if len(some) else some
+        self.order, n = order, len(order)
+        often = np.bincount(np.concatenate([np.zeros(0, dtype="i4"), *[own[d][0] for d in order.tolist()]]), minlength=len(terms))
+        long = np.flatnonzero(often > n / LONG)
+        #: Of each term the column of its long list, or -1; long lists as columns, and their maxima in each block.
+        self.column = np.full(len(terms), -1, dtype="i4")
+        self.column[long] = np.arange(len(long))
+        self.long = np.zeros((n, len(long)))
+        short: list[tuple[np.ndarray, np.ndarray]] = []
+        for place, d in enumerate(order.tolist()):
+            t, w = own[d]
+            c = self.column[t]
+            self.long[place, c[c >= 0]] = w[c >= 0]
+            short.append((t[c < 0], w[c < 0]))
+        self.tops = np.array([self.long[a : a + BLOCK].max(axis=0) for a in range(0, n, BLOCK)]).reshape(-(-n // BLOCK), len(long))
+        # short lists, one behind the other by term, each in the order of the examples' places
+        term = np.concatenate([np.zeros(0, dtype="i4"), *[t for t, _ in short]])
+        by = np.argsort(term, kind="stable")
+        self.place = np.repeat(np.arange(n, dtype="i4"), [len(t) for t, _ in short])[by]
+        self.weight = np.concatenate([np.zeros(0), *[w for _, w in short]])[by]
+        self.ends = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(terms))))).astype("i4")
+        self._calibrate(own, some)
+
+    def matcher(self) -> Matcher:
+        return Matcher(self.words.split("\n") if self.n_terms else [])
 
     def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
         """counts: by term, or the terms' numbers, ascending, and their counts."""
@@ -109,70 +143,60 @@ class Index:
         w = (1 + np.log(n)) * self.idf[t] if len(t) else np.zeros(0)
         return t, w / np.linalg.norm(w) if len(t) else w
 
-    def _cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        n = len(self.ids)
-        if self.matrix is None:
-            usual = np.flatnonzero(np.diff(self.ends) > n / DENSE)
-            row, m = np.full(len(self.terms), -1, dtype="i4"), np.zeros((len(usual), n))
-            row[usual] = np.arange(len(usual))
-            for r, i in enumerate(usual.tolist()):
-                m[r, self.place[self.ends[i] : self.ends[i + 1]]] = self.weight[self.ends[i] : self.ends[i + 1]]
-            self.matrix = row, m
-        row, m = self.matrix
-        q, rest = np.zeros((len(queries), len(m))), []
-        for j, (t, w) in enumerate(queries):
-            r = row[t]
-            q[j, r[r >= 0]] = w[r >= 0]
-            rest.append((t[r < 0], w[r < 0]))
-        out = q @ m
-        for j, (t, w) in enumerate(rest):
-            start, size = self.ends[t], self.ends[t + 1] - self.ends[t]
-            at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-            out[j] += np.bincount(self.place[at], self.weight[at] * np.repeat(w, size), minlength=n)
-        return out
-
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = K, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the places and cosines of the k examples with the largest positive cosines; ties go to the earlier place."""
-        found = []
-        for a in range(0, len(queries), BLOCK):
-            for j, c in enumerate(self._cosines(queries[a : a + BLOCK])):
-                if but is not None:
-                    c[but[a + j]] = 0.0
-                floor = np.partition(c, len(c) - k)[len(c) - k] - 1e-11 if len(c) > k else 0.0
-                place = np.flatnonzero((c > 0) & (c >= floor))
-                best = place[np.lexsort((place, -np.round(c[place], 12)))[:k]]
-                found.append((best, c[best]))
-        return found
-
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        return self.search([(t, w)], k)[0]
-
-    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> list[tuple[float, np.ndarray]]:
-        return [(float((c @ self.labels[p] + PULL * self.base) / (c.sum() + PULL)), p) for p, c in self.search(queries, but=but)]
-
-    def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """The numbers and cosines of the k examples with the largest positive cosines; ties go to the lower number."""
+        partial, q, bound = self._bounds(t, w)
+        best = np.argpartition(-bound, FIRST)[:FIRST] if len(bound) > FIRST else np.arange(len(bound))
+        cosine = partial[best] + self.long[best] @ q
+        floor = np.partition(cosine, len(cosine) - k)[len(cosine) - k] if len(cosine) > k else 0.0
+        bound[best] = -1.0
+        rest = np.flatnonzero((bound > 0) & (bound >= floor - 1e-9))
+        place, cosine = np.concatenate((best, rest)), np.concatenate((cosine, partial[rest] + self.long[rest] @ q))
+        near = cosine > 0
+        if len(cosine) > k:
+            near &= cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k] - 1e-11
+        number, cosine = self.order[place[near]], cosine[near]
+        by = np.lexsort((number, -np.round(cosine, 12)))[:k]
+        return number[by], cosine[by]
+
+    def _bounds(self, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By place: what the short lists give, and the most that the cosine can be; between them the long lists' weights."""
+        c, n = self.column[t], len(self.order)
+        q = np.zeros(self.long.shape[1])
+        q[c[c >= 0]] = w[c >= 0]
+        t, w = t[c < 0], w[c < 0]
+        size = self.ends[t + 1] - self.ends[t]
+        at = _ranges(self.ends[t], size)
+        partial = np.bincount(self.place[at], self.weight[at] * np.repeat(w, size), n)
+        return partial, q, partial + np.repeat(self.tops @ q, BLOCK)[:n]
+
+    def vote(self, t: np.ndarray, w: np.ndarray, but: int | None = None) -> tuple[float, np.ndarray]:
+        p, c = self.nearest(t, w, K + (but is not None))
+        if but is not None:
+            p, c = p[p != but][:K], c[p != but][:K]
+        return float((c @ self.labels[p] + PULL * self.base) / (c.sum() + PULL)), p
+
+    def _calibrate(self, own: list[tuple[np.ndarray, np.ndarray]], some: np.ndarray) -> None:
         """Two parameters by Newton's method on leave-one-out votes, with a weak prior on the slope."""
-        own = [d for d, (t, _) in enumerate(vectors) if len(t)]
-        if not own or not 0 < self.labels[own].sum() < len(own):
+        y = self.labels[some]
+        if not len(y) or not 0 < y.sum() < len(y):
             return
-        v = np.clip([v for v, _ in (x for a in range(0, len(own), BLOCK) for x in self.votes([self.vector(vectors[d]) for d in own[a : a + BLOCK]], own[a : a + BLOCK]))], 1e-3, 1 - 1e-3)
+        v = np.clip([self.vote(*own[d], but=d)[0] for d in some.tolist()], 1e-3, 1 - 1e-3)
         x = np.stack((np.log(v / (1 - v)), np.ones(len(v))), axis=1)
-        y, theta = self.labels[own], np.array([1.0, 0.0])
+        theta = np.array([1.0, 0.0])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
             g = x.T @ (p - y) + np.array([theta[0] - 1, 0.1 * theta[1]])
             h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1.0, 0.1])
-            step = np.linalg.solve(h, g)
-            theta = theta - np.clip(step, -1, 1)
+            theta = theta - np.clip(np.linalg.solve(h, g), -1, 1)
         self.slope, self.shift = max(float(theta[0]), 0.1), float(theta[1])
 
-    def scores(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
-        out: list[tuple[float, list[int]]] = [(float(self.bare), [])] * len(counts)
-        some = [j for j, (t, _) in enumerate(counts) if len(t)] if len(self.ids) else []
-        for j, (v, place) in zip(some, self.votes([self.vector(counts[j]) for j in some]), strict=True):
-            v = min(max(v, 1e-3), 1 - 1e-3)
-            out[j] = (1 / (1 + math.exp(-(self.slope * math.log(v / (1 - v)) + self.shift))), self.ids[place].tolist())
-        return out
+    def score(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[int]]:
+        if not len(counts[0]) or not len(self.order):
+            return float(self.bare), []
+        v, near = self.vote(*self.vector(counts))
+        v = min(max(v, 1e-3), 1 - 1e-3)
+        return 1 / (1 + math.exp(-(self.slope * math.log(v / (1 - v)) + self.shift))), self.ids[near].tolist()
 
 
 def examples(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -191,7 +215,7 @@ def build(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int =
     rows = examples(docs, labels, learnable, max_rows).select("doc_id", "y", "text").collect()  # bounded by max_rows
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     labels_of = np.array([r["y"] for r in rows], dtype="i8")
-    terms = sorted({t for r in rows for w in set(WORD.findall(r["text"].lower())) for t in terms_of(w)})
+    terms = sorted({w for r in rows for w in WORD.findall(r["text"].lower())})
     matcher = Matcher(terms)
     vectors = [matcher.arrays(r["text"]) for r in rows]
     ids, size = np.array([r["doc_id"] for r in rows], dtype="i8"), len(terms)
@@ -235,14 +259,14 @@ def score_column(index: Index, text: Column) -> Column:
     @F.arrow_udf(_SCORE)
     def of(text: pa.Array) -> pa.Array:
         if "m" not in made:
-            made["m"] = Matcher(index.terms)
-        texts = text.to_pylist()
-        unlike = {t: i for i, t in enumerate(dict.fromkeys(texts))}  # copies have the same answer
-        counts = [made["m"].arrays(t) for t in unlike]
-        answers = index.scores(counts)
-        got = [answers[unlike[t]] for t in texts]
-        found = [counts[unlike[t]][0] for t in texts]
-        parts = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([len(c) for c in found], pa.int32())]
+            made["m"] = index.matcher()
+        answer = {}  # copies have the same
+        for t in (texts := text.to_pylist()):
+            if t not in answer:
+                counts = made["m"].arrays(t)
+                answer[t] = (*index.score(counts), len(counts[0]))
+        kinds = (pa.float64(), pa.list_(pa.int64()), pa.int32())
+        parts = [pa.array(c, k) for c, k in zip(zip(*[answer[t] for t in texts], strict=True) if texts else ((), (), ()), kinds, strict=True)]
         return pa.StructArray.from_arrays(parts, ["score", "evidence", "n_terms"])
 
     return of(text)
