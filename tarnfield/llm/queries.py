@@ -67,10 +67,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 SQL = {
     "op2_warc_transactions": r"""
-WITH p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[\r\n]', '%0A', 'g') AS url, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages WHERE page_id IS NOT NULL),
-f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
-SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to, url
-FROM p LEFT JOIN f USING (d)
+WITH p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[\r\n]', '%0A', 'g') AS url, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages),
+r AS (SELECT *, n >= 100 AND row_number() OVER (PARTITION BY d ORDER BY page_id NULLS LAST) > 1 AS again, first_value(page_id) OVER (PARTITION BY d ORDER BY page_id NULLS LAST) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to, url FROM r
 """,
     "op6_line_dedup": r"""
 WITH l AS (
