@@ -14,8 +14,11 @@ domains. Where no rates meet the targets, the misses' squares, each divided by t
 totals are then logged as a warning. Domains that are no document's most probable one have no target (also logged).
 
 T: the shares of the other domains' targets in a total that leaves the anchor domain's expected tokens as they are (without
-the anchor: all tokens). Copies of a document are its
-rate rounded at random by a hash of doc_id (and of the text); rates within SLACK of 1 are one copy.
+the anchor: all tokens). Rows whose rate is within SLACK of 1 are then held at exactly 1, so that documents which mixing
+has no quarrel with are neither lost nor doubled, and the others' rates are fitted again to what the held rows leave of the
+targets; where that can't be, no row is held. Copies of a document are its rate rounded at random by a hash of doc_id and
+text, so the expected copies are the rate. Of SEEDS hashes each domain's
+own rows get the one with which realised tokens are nearest to the targets; one aggregation tells.
 
 TRAIN_ROWS bounds, in expectation, the labelled rows that teach (by a hash of doc_id); all else covers all rows. Null and
 empty texts have the traits of an empty text and no tokens, so any rate fits them; repeated rows are rated each; a null
@@ -44,6 +47,7 @@ MIN_ROWS = 5
 #: Weight of a miss against the distance from 1: so small that targets which can be met are.
 SOFT = 1e-6
 SLACK = 0.1
+SEEDS = 32
 MARKS = ".,;:!?\"'()[]{}#$%&*|<>=+-_/~^@`"
 SIGNS = "!?#$%&*|<>=+_/~^@"
 _BLANKS = "\n\t\r"
@@ -152,22 +156,29 @@ def rate(domains: list[str], steps: list[list[float]]) -> Column:
     return F.aggregate(moves, start, step, lambda acc: acc["r"])
 
 
-def fit(table: DataFrame, domains: list[str], targets: dict[str, float], anchor: str, tolerance: float = 1e-4) -> tuple[list[list[float]], dict]:
+def fit(table: DataFrame, domains: list[str], targets: dict[str, float], anchor: str, tolerance: float = 1e-4, goals: dict[str, float] | None = None) -> tuple[list[list[float]], dict]:
     """The steps' vectors (one), and the totals reached; table has t and p_<domain>, and is read once for each evaluation.
+    goals: the totals of the domains, where they aren't to be taken from the targets.
 
     The rates nearest to 1 (squares weighted by t) that meet the targets are max(0, 1 - sum_k p_k g_k), where g is the
     least point of the convex h(g) = sum t r(g)^2 / 2 + T g + SOFT sum s_k g_k^2 / 2; Newton's method finds it with a
     halved step where a whole one doesn't lower h, until the gradient is gone.
     """
     held, size = _held(table, domains)
+    if goals:
+        held = set(goals)
     at = [i for i, k in enumerate(domains) if k in held]
     used = [domains[i] for i in at]
     info = {"size": dict(zip(domains, size, strict=True)), "held": used, "goal": {}, "reached": {}, "met": True}
     if not used or not sum(targets[k] for k in used):
         return [], info
+    if goals and not all(size[i] for i in at):
+        return [], info
     share = np.array([targets[k] for k in used]) / sum(targets[k] for k in used)
     s = np.array([size[i] for i in at])
     goal = share * (s[used.index(anchor)] / share[used.index(anchor)] if anchor in used and targets[anchor] else s.sum())
+    if goals:
+        goal = np.array([goals[k] for k in used])
     pairs = [(i, j) for i in range(len(at)) for j in range(i, len(at))]
 
     def spread(g: np.ndarray) -> list[float]:
@@ -192,7 +203,7 @@ def fit(table: DataFrame, domains: list[str], targets: dict[str, float], anchor:
     h, now, second = value(g)
     while True:
         slope = goal - now + SOFT * s * g
-        if np.abs(slope).sum() <= 0.01 * tolerance * goal.sum():
+        if np.abs(slope).sum() <= 0.01 * tolerance * np.abs(goal).sum():
             break
         step = -np.linalg.solve(second, slope)
         length, fall = 1.0, float(slope @ step)
@@ -201,7 +212,7 @@ def fit(table: DataFrame, domains: list[str], targets: dict[str, float], anchor:
         if new[0] >= h:  # no lower value can be told from h in doubles
             break
         g, (h, now, second) = g + length * step, new
-    info |= {"goal": dict(zip(used, goal.tolist(), strict=True)), "reached": dict(zip(used, now.tolist(), strict=True)), "met": bool(np.abs(now - goal).sum() <= tolerance * goal.sum())}
+    info |= {"goal": dict(zip(used, goal.tolist(), strict=True)), "reached": dict(zip(used, now.tolist(), strict=True)), "met": bool(np.abs(now - goal).sum() <= tolerance * np.abs(goal).sum())}
     return [spread(g)], info
 
 
@@ -213,9 +224,59 @@ def _held(table: DataFrame, domains: list[str]) -> tuple[set[str], list[float]]:
     return {k for k, x in zip(domains, got[n:], strict=True) if x}, [float(x or 0) for x in got[:n]]
 
 
-def copies(r: Column, *key: Column, slack: float = SLACK) -> Column:
-    even = F.pmod(F.xxhash64(F.lit(12), *key), F.lit(1 << 30)) / float(1 << 30)
-    return F.when(F.abs(r - 1) <= slack, 1).otherwise(F.floor(r + even)).cast("int")
+def copies(r: Column, *key: Column, seed: Column | int = 0) -> Column:
+    even = F.pmod(F.xxhash64(F.lit(12), F.lit(seed) if isinstance(seed, int) else seed, *key), F.lit(1 << 30)) / float(1 << 30)
+    return F.floor(r + even).cast("int")
+
+
+def _with_held(table: DataFrame, domains: list[str], steps: list[list[float]], info: dict) -> Column:
+    """The rate with rows near 1 held at 1 and the others fitted to the rest, or as it is where that meets no targets."""
+    plain = rate(domains, steps)
+    if not info["met"] or not info["goal"]:
+        return plain
+    near = F.abs(plain - 1) <= SLACK
+    rated = table.withColumn("__tarnfield_near", near)
+    kept = rated.filter("__tarnfield_near").agg(*[F.coalesce(F.sum(F.col("t") * F.col(f"p_{k}")), F.lit(0.0)) for k in info["held"]]).first()
+    goals = {k: info["goal"][k] - x for k, x in zip(info["held"], kept, strict=True)}
+    again, new = fit(rated.filter(~F.col("__tarnfield_near")), domains, dict.fromkeys(domains, 1.0), "", goals=goals)
+    miss = {k: abs(new["reached"][k] - goals[k]) for k in goals} if new["reached"] else goals
+    if any(abs(x) > 1e-3 * info["goal"][k] for k, x in miss.items()):
+        log.info("mixing: no rows are held at one copy; their rest can't meet the targets")
+        return plain
+    return F.when(near, 1.0).otherwise(rate(domains, again))
+
+
+def _main_domain(domains: list[str]) -> Column:
+    """The number of a row's most probable domain, the first of equals."""
+    top = F.greatest(*[F.col(f"p_{k}") for k in domains], F.lit(0.0))
+    return reduce(lambda c, i: c.when(F.col(f"p_{domains[i]}") >= top, i), range(1, len(domains)), F.when(F.col(f"p_{domains[0]}") >= top, 0)).otherwise(0)
+
+
+def _seeds(rated: DataFrame, domains: list[str], info: dict) -> list[int]:
+    """The hash for the rows of each most probable domain. Together their realised tokens are nearest to the targets: the
+    largest miss, as a share of its goal, can't be lowered by another hash for one of them."""
+    best = [0] * len(domains)
+    if not info["goal"]:
+        return best
+    goal = info["reached"]  # where targets can't be met, what the rates give
+    aims = np.array(list(goal.values()))
+    whole = F.col("rate") == F.floor("rate")
+    token = lambda k: F.col("t") * F.col(f"p_{k}")
+    fixed = rated.filter(whole).agg(*[F.coalesce(F.sum(F.col("rate") * token(k)), F.lit(0.0)) for k in goal]).first()
+    each = rated.filter(~whole).withColumn("__tarnfield_own", _main_domain(domains)).select("*", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))).alias("__tarnfield_seed"))
+    n = copies(F.col("rate"), F.col("doc_id"), F.col("h"), seed=F.col("__tarnfield_seed"))
+    tokens = np.zeros((len(domains), SEEDS, len(aims)))
+    for r in each.groupBy("__tarnfield_own", "__tarnfield_seed").agg(*[F.sum(n * token(k)) for k in goal]).collect():  # SEEDS rows a domain
+        tokens[r[0], r[1]] = r[2:]
+    changed = True
+    while changed:
+        changed = False
+        for d in range(len(domains)):
+            others = np.array(fixed) + sum(tokens[e, best[e]] for e in range(len(domains)) if e != d)
+            miss = (np.abs(others + tokens[d] - aims) / np.maximum(aims, 1e-9)).max(axis=1)
+            if (low := int(np.argmin(miss))) != best[d] and miss[low] < miss[best[d]]:
+                best[d], changed = low, True
+    return best
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, keep: dict[str, Column], targets: dict[str, float], anchor: str):
@@ -229,17 +290,19 @@ def _fitted(docs: DataFrame, labels: DataFrame, keep: dict[str, Column], targets
         log.warning("mixing: no document is of %s; the targets are those of the other domains", ", ".join(missing))
     if not info["met"]:
         log.warning("mixing: targets can't be reached: goal %s, reached %s", info["goal"], info["reached"])
-    return domains, table.withColumn("rate", rate(domains, steps))
+    out = table.withColumn("rate", _with_held(table, domains, steps, info))
+    seeds = _seeds(out.select("doc_id", "h", "t", "rate", *[f"p_{k}" for k in domains]), domains, info)
+    n = copies(F.col("rate"), F.col("doc_id"), F.col("h"), seed=F.get(F.lit(seeds), _main_domain(domains)))
+    return domains, out.withColumn("copies", n)
 
 
 def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "good") -> DataFrame:
     """doc_id, n_words, p_<domain>, rate, copies for every row."""
     domains, out = _fitted(docs, labels, {}, targets, anchor)
-    return out.select("doc_id", F.col("t").cast("long").alias("n_words"), *[f"p_{k}" for k in domains], "rate", copies(F.col("rate"), F.col("doc_id"), F.col("h")).alias("copies"))
+    return out.select("doc_id", F.col("t").cast("long").alias("n_words"), *[f"p_{k}" for k in domains], "rate", "copies")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "good") -> DataFrame:
     """The rows of docs, all columns, each as often as its copies."""
     _, out = _fitted(docs, labels, {"row": F.struct(*docs.columns)}, targets, anchor)
-    n = copies(F.col("rate"), F.col("doc_id"), F.col("h"))
-    return out.withColumn("copies", n).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    return out.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

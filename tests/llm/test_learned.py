@@ -191,6 +191,12 @@ def test_targets_are_reached(spark, larger):
     for k, share in mixing.TARGETS.items():
         want = share / mixing.TARGETS["good"] * before["good"]
         assert abs(totals[k] - want) <= 0.01 * sum(totals.values()), (k, totals, before)
+    for k, share in mixing.TARGETS.items():  # the copies' tokens, and not the rates' alone
+        want = share / mixing.TARGETS["good"] * before["good"]
+        got = sum(r["copies"] * r["n_words"] * r[f"p_{k}"] for r in rows)
+        assert abs(got - want) <= 0.01 * want, (k, got, want)
+    assert sum(r["rate"] == 1 for r in rows) >= 0.5 * len(rows)
+    assert all(r["copies"] in (math.floor(r["rate"]), math.ceil(r["rate"])) for r in rows)
     assert all(r["rate"] >= 0 and abs(sum(r[f"p_{k}"] for k in mixing.TARGETS) - 1) < 1e-9 and r["copies"] >= 0 for r in rows)
 
 
