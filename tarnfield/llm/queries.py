@@ -83,7 +83,7 @@ FROM l GROUP BY rid, doc_id
 """,
     "op7_winnowing": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(len(ws), 8) AS n, array_to_string(ws[i : i + least(len(ws), 8) - 1], ' ') AS w
        FROM b, LATERAL (SELECT unnest(generate_series(1, len(ws) - least(len(ws), 8) + 1)) AS i) WHERE len(ws) > 0),
 sizes AS (SELECT DISTINCT n FROM bw),

@@ -38,9 +38,9 @@ def windows_by_hand(docs: list[tuple], items: list[tuple]) -> list[tuple]:
     for i, t in items:
         ws = split(t)
         n = min(8, len(ws))
-        if i is not None and n:
+        if n:
             for a in range(len(ws) - n + 1):
-                where.setdefault(tuple(ws[a : a + n]), set()).add(str(i))
+                where.setdefault(tuple(ws[a : a + n]), set()).add(None if i is None else str(i))
     sizes = sorted({len(w) for w in where})
     out = []
     for i, t in docs:
@@ -50,7 +50,7 @@ def windows_by_hand(docs: list[tuple], items: list[tuple]) -> list[tuple]:
                 if got := where.get(tuple(ws[a : a + n])):
                     hit.update(range(a, a + n))
                     found |= got
-        out.append((i, len(ws), len(hit), len(found), sha(",".join(sorted(found))), len(found) >= 2))
+        out.append((i, len(ws), len(hit), len(found), sha(",".join(sorted(found - {None}))), len(found) >= 2))
     return sorted(out, key=repr)
 
 
@@ -97,6 +97,16 @@ def test_windows_of_the_table(spark, sf_dir):
     assert cases.bag(queries.op7_winnowing(spark, sf_dir), *WINDOWS) == windows_by_hand(_pairs(table(spark, sf_dir, "documents")), items)
 
 
+def test_equal_hashes_are_no_hits(spark, monkeypatch):
+    """All words of a text have one hash: hits are told by words."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(winnow, "word_hashes", lambda ws: F.transform(ws, lambda w: F.lit(7).cast("long")))
+    df = cases.documents(spark)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert cases.bag(winnow.contaminated(df, items), *WINDOWS) == windows_by_hand(_pairs(df), ITEMS)
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(st.sampled_from("a b c"), min_size=0, max_size=30).map(" ".join), min_size=1, max_size=12), st.lists(st.lists(st.sampled_from("a b c"), min_size=0, max_size=12).map(" ".join), max_size=4))
 def test_windows_of_few_words(spark, texts, items):
