@@ -183,24 +183,34 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, h, fp, component_id of every row."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, h, fp, component_id, root (the fingerprint that names the component) of every row."""
     fps = stored(fingerprints(docs), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
     root = stored(components(links(nodes)), "components")
     low = root.join(nodes, root["node"] == nodes["fp"]).groupBy("root").agg(F.min("rep").alias("low"))
-    held = root.join(low, "root").select("node", "low")
-    labels = nodes.join(held, nodes["fp"] == held["node"], "left").select(F.col("fp").alias("l_fp"), F.coalesce("low", "rep").alias("l_root"))
-    return fps.join(labels, F.col("fp") == F.col("l_fp"), "left").select("doc_id", "h", "fp", F.when(F.col("doc_id").isNotNull(), F.col("l_root")).alias("component_id"))
+    held = root.join(low, "root").select("node", "root", "low")
+    # rows that are alone in their component need no label
+    labels = nodes.join(held, nodes["fp"] == held["node"], "left").filter("n > 1 or node is not null")
+    labels = small(stored(labels.select(F.col("fp").alias("l_fp"), F.coalesce("low", "rep").alias("l_id"), F.coalesce("root", "fp").alias("l_root")), "labels"))
+    out = fps.join(labels, F.col("fp") == F.col("l_fp"), "left")
+    return out.select("doc_id", "h", "fp", F.when(F.col("doc_id").isNotNull(), F.coalesce("l_id", "doc_id")).alias("component_id"), F.coalesce("l_root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, h, fp, component_id of every row."""
+    return _labelled(docs).drop("root")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that stand for their component: the one with its smallest doc_id. Where that id is
-    repeated, one of its rows (with the least text hash) stays; rows with a null doc_id all stay."""
-    keep = stored(near_duplicates(docs).filter("component_id = doc_id").groupBy("doc_id").agg(F.min("h").alias("h"), F.count("*").alias("n")), "representatives")
-    key = F.xxhash64(text_of())
-    own = keep.select(F.col("doc_id").alias("__tarnfield_id"), F.col("h").alias("__tarnfield_h")).hint("shuffle_hash")
-    rest = docs.filter("doc_id is not null").join(own, (F.col("doc_id") == F.col("__tarnfield_id")) & (key == F.col("__tarnfield_h")), "left_semi")
-    if keep.filter("n > 1").limit(1).count():
-        rest = rest.dropDuplicates(["doc_id"])
-    return rest.unionByName(docs.filter("doc_id is null"))
+    """The rows of docs, all columns, that stand for their component: the one with its smallest doc_id, and of several with
+    that id the one with the least text hash; of rows that are the same in both, one. Rows with a null doc_id all stay."""
+    rows = _labelled(docs).filter("doc_id is not null").groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
+    keep = rows.groupBy("root").agg(F.min(F.struct("doc_id", "h", "n")).alias("k"))
+    keep = stored(keep.select(F.col("k.doc_id").alias("__tarnfield_id"), F.col("k.h").alias("__tarnfield_h"), F.col("k.n").alias("__tarnfield_n")), "representatives")
+    key = (F.col("doc_id") == F.col("__tarnfield_id")) & (F.xxhash64(text_of()) == F.col("__tarnfield_h"))
+    out = docs.filter("doc_id is not null").join(keep.filter("__tarnfield_n = 1"), key, "left_semi")
+    if keep.filter("__tarnfield_n > 1").limit(1).count():
+        again = docs.filter("doc_id is not null").join(small(keep.filter("__tarnfield_n > 1")), key, "left_semi").withColumn("__tarnfield_h", F.xxhash64(text_of()))
+        out = out.unionByName(again.dropDuplicates(["doc_id", "__tarnfield_h"]).drop("__tarnfield_h"))
+    return out.unionByName(docs.filter("doc_id is null"))
