@@ -2,15 +2,17 @@
 
 The minimised risk is the non-negative unbiased one: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
 with logistic loss and a linear model, so that the score is an estimate of the probability of label 1. Trusted positives
-are the labelled rows of quality 1, unlabelled web text is what the same split of documents holds, labelled or not. The
-class prior is the share of quality 1 among the labelled rows of the split, smoothed by one row of each kind.
+are the labelled rows of quality 1, unlabelled web text is what the same split of documents holds, labelled or not. Rows
+labelled 0 aren't used. The class prior is estimated from positives and unlabelled text: a first classifier tells the one
+from the other, and of its thresholds the one is taken at which the share of unlabelled text above is the least multiple of
+the share of positives above (no prior above that multiple is possible; where labels can be told apart it is the prior).
 
 Features are of a text's form alone: shares of its kinds of characters and of single bytes, lengths of words and lines,
 repetition of words and lines. Labels, lang, source and doc_id are no features.
 
 MAX_ROWS bounds the sample that is fitted (of positives and of unlabelled rows each, in expectation; chosen by a hash of
 doc_id); scoring and everything else covers all rows. Null and empty texts have the features zero and are scored. Rows
-whose doc_id is null are scored and never learned from. With no labelled positive the score is the prior. Repeated rows
+whose doc_id is null are scored and never learned from. With too few labelled positives the prior is 0.5, and with none the score is the prior. Repeated rows
 are scored alike. Other columns than doc_id, text and quality aren't read.
 """
 
@@ -69,6 +71,10 @@ class Model:
     def __init__(self, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, b: float, prior: float):
         self.mean, self.scale, self.w, self.b, self.prior = mean, scale, w, b, prior
 
+    def standard_scores(self, x: np.ndarray) -> np.ndarray:
+        """Of features as they are; far outliers are drawn in, as in the fit."""
+        return self.scores(self.mean + np.clip((x - self.mean) / self.scale, -8, 8) * self.scale)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = ((x - self.mean) / self.scale) @ self.w + self.b
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -99,6 +105,19 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, theta[:-1], float(theta[-1]), prior)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The least ratio of unlabelled to positive rows above a score, over scores that a quarter of the positives reach;
+    half of the positives fit the first classifier, the other half are compared."""
+    if len(positive) < 4 or not len(unlabelled):
+        return 0.5
+    first = fit(positive[::2], unlabelled[::2], 0.5, steps=300)
+    p, u = (np.sort(first.standard_scores(x)) for x in (positive[1::2], unlabelled[1::2] if len(unlabelled) > 1 else unlabelled))
+    at = p[: max(1, 3 * len(p) // 4)]
+    above_p, above_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+    # smoothed by one standard error, lest a chance gap in few rows decide
+    return float(np.min((above_u + np.sqrt(above_u * (1 - above_u) / len(u))) / above_p))
+
+
 def _sampled(rows: DataFrame, n: int, most: int, salt: int) -> DataFrame:
     """About `most` of n rows, by a hash of doc_id."""
     share = min(1.0, most / max(1, n))
@@ -109,22 +128,20 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int =
     """Fit on rows for which `learnable`, an expression of doc_id, holds."""
     bounded_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(F.col("doc_id").isNotNull() & learnable)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("q")).filter(F.col("q").isNotNull() & learnable)
-    n_known, n_good = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("q") == 1, 1)), F.lit(0))).first()
-    prior = (n_good + 1) / (n_known + 2)
-    good = F.broadcast(_sampled(known.filter("q = 1"), n_good, max_rows, 1).select("doc_id").distinct())  # bounded by max_rows
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("q")).filter((F.col("q") == 1) & F.col("doc_id").isNotNull() & learnable).select("doc_id").distinct()
+    good = F.broadcast(_sampled(known, known.count(), max_rows, 1))  # bounded by max_rows
     n_text = text.count()
     take = lambda df: np.array([r[0] for r in df.select(feature_column(F.col("text")).alias("x")).collect()], dtype="f4").reshape(-1, N_FEATURES)
     positive = take(text.join(good, "doc_id", "left_semi"))
     unlabelled = take(_sampled(text, n_text, max_rows, 2))
-    return fit(positive, unlabelled, min(max(prior, 0.01), 0.99))
+    return fit(positive, unlabelled, min(max(class_prior(positive, unlabelled), 0.01), 0.99))
 
 
 def score_column(model: Model, text: Column) -> Column:
     @F.arrow_udf(DoubleType())
     def of(raw: pa.Array) -> pa.Array:
         x = np.array([features(r) for r in raw.to_pylist()], dtype="f8").reshape(-1, N_FEATURES)
-        return pa.array(model.scores(model.mean + np.clip((x - model.mean) / model.scale, -8, 8) * model.scale))
+        return pa.array(model.standard_scores(x))
 
     return of(text.cast("binary"))
 

@@ -80,6 +80,15 @@ def test_the_risk_never_goes_below_zero_and_finds_the_class():
     assert np.allclose(quality.fit(np.zeros((0, quality.N_FEATURES)), bad, 0.3).scores(bad), 0.3)
 
 
+def test_the_prior_is_that_of_the_unlabelled_rows():
+    """However many of each kind were labelled: only positives and unlabelled rows are looked at."""
+    rng = np.random.default_rng(3)
+    draw = lambda mean, n: rng.normal(mean, 1, (n, quality.N_FEATURES)) * 0.2
+    for share in (0.2, 0.5, 0.85):
+        mixed = np.vstack((draw(1, int(3000 * share)), draw(-1, 3000 - int(3000 * share))))
+        assert abs(quality.class_prior(draw(1, 1000), mixed) - share) < 0.05
+
+
 def test_neighbours_are_the_exact_ones():
     rng = np.random.default_rng(2)
     terms = [f"t{i}" for i in range(40)]
