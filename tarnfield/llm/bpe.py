@@ -34,7 +34,7 @@ def _raw(ids: list[int]) -> bytes:
 
 
 class UnitEncoder:
-    def __init__(self, path: str, max_units: int = 800_000):
+    def __init__(self, path: str, max_bytes: int = 64 << 20):
         from tokenizers import Tokenizer
 
         with open(path) as f:
@@ -51,7 +51,8 @@ class UnitEncoder:
         self.n_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token.encode()) if token in special else len(token)
-        self.max_units = max_units
+        #: Bound of what the units held take, each with about 150 bytes of its own.
+        self.max_bytes, self.held = max_bytes, 0
         self.units: dict[str, bytes] = {"": b""}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -91,14 +92,22 @@ class UnitEncoder:
         for a in range(0, len(spaced), 20_000):
             known.update(self._together(spaced[a : a + 20_000]))
 
+    @staticmethod
+    def _size(unit: tuple[str, bytes]) -> int:
+        return 150 + len(unit[0]) + len(unit[1])
+
     def _values(self, units: list[str]) -> list[bytes]:
         """The ids of distinct units."""
         known = self.units
-        if len(known) + len(units) > self.max_units:
-            # units met first are the frequent ones
-            self.units = known = dict(islice(known.items(), self.max_units // 2)) | {"": b""}
         if new := [u for u in units if u not in known]:
+            if self.held > self.max_bytes:
+                # units met first are the frequent ones
+                self.units = known = dict(islice(known.items(), len(known) // 2)) | {"": b""}
+                self.held = sum(map(self._size, known.items()))
+                new = [u for u in units if u not in known]
+            before = len(known)
             self._learn(new)
+            self.held += sum(map(self._size, islice(reversed(known.items()), len(known) - before)))
         return list(map(known.__getitem__, units))
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:

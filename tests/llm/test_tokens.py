@@ -74,7 +74,7 @@ def test_checksums_are_joined():
 
 def test_units_give_the_tokenizers_ids(tokenizer):
     texts = [t or "" for _, t, *_ in cases.rows()] + ["a b  c", " lead", "trail ", "x\n y", "it's we'll 'tis", "1234 5,6.7", "a　b", "don't,stop.", ",.", "tab\there", "word, word. (word) \"word\"", "<|endoftext|> x"]
-    enc = bpe.UnitEncoder(queries.tokenizer(), max_units=64)
+    enc = bpe.UnitEncoder(queries.tokenizer(), max_bytes=10_000)
     for raw, t in zip(enc.encode(texts), texts, strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
