@@ -37,6 +37,27 @@ def words(c: Column, locale: Locale, write: bool = False, min_char: int = 2, sto
     return locale.words_column(F.coalesce(c.cast("string"), F.lit("")), write, min_char, stop_words)
 
 
+def holds(c: Column, locale: Locale, wanted: list[str], write: bool = True, min_char: int = 2, stop_words: str = "") -> Column:
+    """Which of the wanted words a text has, as one bit each: Python sends back a number for a text and not its words."""
+    import pyarrow as pa
+
+    from .locales import locale as of_tag
+
+    tag, stop, wanted = locale.language, frozenset(locale.stop_words(stop_words)), list(wanted)
+
+    def of(values: pa.Array) -> pa.Array:
+        own, out = of_tag(tag), []
+        may = own.hint(tuple(wanted))
+        for v in values.to_pylist():
+            near = " ".join(filter(may, dict.fromkeys(v.split())))
+            have = set(own.words(near, write, min_char, stop)) if near else ()
+            out.append(sum(1 << i for i, w in enumerate(wanted) if w in have))
+        return pa.array(out, pa.int64())
+
+    of.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(of, "long")(F.coalesce(c.cast("string"), F.lit("")))
+
+
 def ascii_words(c: Column, locale: Locale, write: bool = False, min_char: int = 2, stop_words: str = "") -> Column:
     """The same for short cells known to be ASCII without & and <, in a language that leaves ASCII letters as they are but
     for lower case and spelling: no Python at all."""

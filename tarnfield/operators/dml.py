@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import cells
+from ..session import scratch
 from ..spec import TableSpec
 from .core import Table
 from .link import with_child_ids
@@ -53,11 +54,27 @@ def unique_violations(spec: TableSpec, df: DataFrame) -> DataFrame:
     return rows.groupBy("block", "value").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def _clash(spec: TableSpec, rows: DataFrame, others: DataFrame) -> bool:
+    """Whether a value of a unique block would stand twice: among the written rows, or in one of them and in another row.
+    Only the written rows' values are looked for, so the table's own are filtered and never grouped."""
+    blocks = [b.id for b in spec.blocks if "unique" in b.valid]
+    if not blocks:
+        return False
+    if unique_violations(spec, rows).limit(1).count():
+        return True
+    parts = F.array(*[F.struct(F.lit(b).alias("block"), F.col(b).cast("string").alias("value")) for b in blocks])
+    held = lambda df: df.select(F.explode(parts).alias("p")).select("p.block", "p.value").filter("value is not null and value <> ''")
+    return bool(held(others).join(held(rows), ["block", "value"], "left_semi").limit(1).count())
+
+
 def numbered(df: DataFrame, id_column: str, last: int) -> DataFrame:
-    """Ids last + 1, ... for rows without one, in the rows' own order of all columns. Numbers are dealt out by partition
-    (a count for each, then places within it), so no row passes through a single task."""
+    """Ids last + 1, ... for rows without one, in the order in which df's partitions hold them. Numbers are dealt out by
+    partition (a count for each, then places within it), so no row passes through a single task. The rows are written with
+    their places first: if they were made again, by another plan or on another executor, places could differ."""
     rest = [c for c in df.columns if c != id_column]
-    placed = df.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    path = scratch(df.sparkSession, "numbered")
+    df.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()).write.parquet(path)
+    placed = df.sparkSession.read.parquet(path)
     sizes = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # a number for each partition
     start, at = {}, last
     for p in sorted(sizes):
@@ -79,7 +96,7 @@ def insert(table: Table, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = new.filter(F.col(key) > last).withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__r = 1").drop("__r")
     rows = with_child_ids(table, _fitted(table, validated(spec, rows)))
     out = table.df.unionByName(rows)
-    if unique_violations(spec, out).limit(1).count():
+    if _clash(spec, rows, table.df):
         raise Rejected(f"{spec.name}: a unique block would hold a value twice")
     return out, rows
 
@@ -95,8 +112,9 @@ def update(table: Table, changes: DataFrame, *, force: bool | None = None) -> tu
     rows = with_child_ids(table, _fitted(table, validated(table.spec, changes.dropDuplicates([key]))))
     if not force:
         rows = rows.join(table.df.select(key), key, "left_semi")
-    out = table.df.join(rows.select(key), key, "left_anti").unionByName(rows)
-    if unique_violations(table.spec, out).limit(1).count():
+    others = table.df.join(rows.select(key), key, "left_anti")
+    out = others.unionByName(rows)
+    if _clash(table.spec, rows, others):
         raise Rejected(f"{table.spec.name}: a unique block would hold a value twice")
     return out, rows
 

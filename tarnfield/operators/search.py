@@ -92,9 +92,14 @@ def _matching(table: Table, ws: list[str], mode: str, per_block: bool, blocks: I
         texts = {b: t for b, t in texts.items() if b in set(blocks)}
     own = table.df.columns
     named = {b: f"__w{b if b >= 0 else 'all'}" for b in texts}
-    df = df.select(*own, *[word_column(table, t).alias(named[b]) for b, t in texts.items()])
     join = (lambda a, b: a & b) if mode == "and" else (lambda a, b: a | b)
-    held = lambda b, w: F.array_contains(named[b], w)
+    if table.spec.extra.get("ascii_text") or len(ws) > 62:
+        df = df.select(*own, *[word_column(table, t).alias(named[b]) for b, t in texts.items()])
+        held = lambda b, w: F.array_contains(named[b], w)
+    else:
+        s = table.spec
+        df = df.select(*own, *[W.holds(t, table.locale, ws, True, s.min_char, s.stop_words).alias(named[b]) for b, t in texts.items()])
+        held = lambda b, w: F.col(named[b]).bitwiseAND(F.lit(1 << ws.index(w))) != 0
     if per_block:
         test = reduce(lambda a, b: a | b, [reduce(join, [held(b, w) for w in ws]) for b in texts])
     else:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import core, search
 from ..operators.core import Table
+from ..sources.files import Store
 
 
 def postings(table: Table) -> DataFrame:
@@ -38,6 +39,7 @@ def build(table: Table, folder: str, parts: int | None = None) -> Table:
     """Write the table's lists into a folder and give the table with them. A frequent value's rows lie in several files:
     rows are dealt by range of (block, value, id)."""
     spark = table.spark
+    Store(spark, folder).delete("changes")
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = {}
     if table.spec.match:
@@ -55,10 +57,54 @@ def build(table: Table, folder: str, parts: int | None = None) -> Table:
     return replace(table, **made)
 
 
+def _lists(table: Table) -> dict:
+    return {name: make for name, make, used in (("postings", postings, table.spec.match), ("tokens", search.tokens, table.spec.search)) if used}
+
+
+def upkeep(table: Table, folder: str, rows: DataFrame | None = None, ids: DataFrame | None = None) -> Table:
+    """Carry a write over to built lists and give the table with them: rows are the inserted or changed ones, ids those of
+    deleted rows. Only the changed rows' words and values are made; `attached` leaves out what they replace. table is the
+    table after the write. build() folds all changes in again."""
+    spark, changes = table.spark, f"{folder}/changes"
+    number = _number(spark, changes) + 1
+    gone = [x.select(F.col(x.columns[0]).alias(table.id)) for x in (None if rows is None else rows.select(table.id), ids) if x is not None]
+    if not gone:
+        return attached(table, folder)
+    if rows is not None:
+        for name, make in _lists(table).items():
+            made = make(replace(table, df=rows.select(*table.df.columns), postings=None, tokens=None))
+            made.withColumn("change", F.lit(number)).write.mode("append").parquet(f"{changes}/{name}")
+    # written last: a write that broke off before has changed nothing that attached() looks at
+    reduce(lambda a, b: a.unionByName(b), gone).distinct().withColumn("change", F.lit(number)).write.mode("append").parquet(f"{changes}/gone")
+    return attached(table, folder)
+
+
+def _number(spark, changes: str) -> int:
+    """Number of the last change that lists were told of."""
+    if not Store(spark, changes).exists("gone"):
+        return 0
+    gone = spark.read.parquet(f"{changes}/gone")
+    return gone.agg(F.max("change")).first()[0] or 0
+
+
 def attached(table: Table, folder: str) -> Table:
-    """The table with lists that were built before."""
-    read = table.spark.read.parquet
-    return replace(table, postings=read(f"{folder}/postings") if table.spec.match else None, tokens=read(f"{folder}/tokens") if table.spec.search else None)
+    """The table with lists that were built before, and changed since by upkeep()."""
+    read, changes = table.spark.read.parquet, f"{folder}/changes"
+    number = _number(table.spark, changes)
+    out = {}
+    for name in _lists(table):
+        rows = read(f"{folder}/{name}")
+        if number:
+            gone = read(f"{changes}/gone").groupBy(F.col(table.id).alias("__gone")).agg(F.max("change").alias("__change"))
+            base = rows.join(gone, rows[table.id] == F.col("__gone"), "left_anti")
+            if not Store(table.spark, changes).exists(name):  # only deletions so far
+                out[name] = base
+                continue
+            new = read(f"{changes}/{name}")
+            new = new.filter(F.col("change") <= number).join(gone, (new[table.id] == F.col("__gone")) & (F.col("change") == F.col("__change")), "left_semi").select(*[F.col(c).cast(rows.schema[c].dataType) for c in rows.columns])
+            rows = base.unionByName(new)
+        out[name] = rows
+    return replace(table, **out)
 
 
 def attached_suggestions(table: Table, folder: str) -> search.Suggestions:

@@ -67,11 +67,14 @@ def coalesced(journal: DataFrame, keys: list[str], seq: str, action: str, payloa
 
 def write_behind(stream: DataFrame, catalog: Catalog, name: str, *, key: str, seq: str, action: str, payload: str, checkpoint: str, trigger: dict[str, Any] | None = None):
     """Each batch's changes, one a key, merged into a table in one commit. A batch that runs again finds its number in the
-    commit's note and does nothing, so each is applied once."""
+    commit's note, or a later batch's, and does nothing, so each is applied once however many commits lie between."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        note = f"stream {name} {checkpoint} {number}"
-        if any(_note(catalog, v) == note for v in catalog.versions()[-50:]):
+        own = f"stream {name} {checkpoint} "
+        note = f"{own}{number}"
+        # from the newest commit back to the stream's last one
+        last = next((n for v in reversed(catalog.versions()) if (n := _note(catalog, v) or "").startswith(own)), None)
+        if last is not None and int(last.removeprefix(own)) >= number:
             return
         one = coalesced(batch, [key], seq, action, payload).persist()
         table = catalog.table(name, links=False)

@@ -89,3 +89,12 @@ def test_passwords_and_rules(spark):
     r = one(spark, text.text_rules(F.lit("14 x 20 cmTürkçe133 s.İstanbul2. HamurAralık 2002"), rules))
     assert (r["page_count"], r["paper_type"], r["publish_year"], r["none"]) == ("133", "2. Hamur", "2002", None)
     assert one(spark, text.key_encode(F.lit("Çay-1 a"))) == "Cay1a"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("thean dTHÉéÅß&<>'’-.,\u0301 "), max_size=60), st.sampled_from(["en", "de", "fr", "tr"]))
+def test_no_word_escapes_the_hint(t, tag):
+    own, wanted = locale(tag), ("the", "and", "ante", "head")
+    may = own.hint(wanted)
+    near = " ".join(filter(may, dict.fromkeys(t.split())))
+    assert {w for w in wanted if w in own.words(t, True)} == {w for w in wanted if w in own.words(near, True)}
