@@ -61,12 +61,18 @@ class Matcher:
 
     def arrays(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The terms' numbers, ascending, and how often each stands in the text."""
-        get = self.place.get
-        found = [(i, n) for w, n in Counter(WORD.findall(text.lower())).items() if (i := get(w)) is not None] if text and self.place else []
-        t, n = np.array(found, dtype="i4").reshape(-1, 2).T
+        often = Counter(WORD.findall(text.lower())) if text and self.place else {}
+        own = often.keys() & self.place.keys()
+        t = np.fromiter(map(self.place.__getitem__, own), "i4", len(own))
+        n = np.fromiter(map(often.__getitem__, own), "i4", len(own))
         order = np.argsort(t)
         return t[order], n[order]
 
+    def numbers(self, text: str | None) -> np.ndarray:
+        """The terms' numbers, in no order."""
+        own = self.place.keys() & set(WORD.findall(text.lower())) if text else ()
+        return np.fromiter(map(self.place.__getitem__, own), "i4", len(own))
+
     def counts(self, text: str | None) -> dict[int, int]:
         t, n = self.arrays(text)
         return dict(zip(t.tolist(), n.tolist(), strict=True))
@@ -240,7 +246,7 @@ def document_counts(texts: DataFrame, terms: list[str]) -> DataFrame:
         matcher, n = Matcher(terms), np.zeros(len(terms), dtype="i8")
         for b in batches:
             for t in b.column(0).to_pylist():
-                n[matcher.arrays(t)[0]] += 1
+                n[matcher.numbers(t)] += 1
         at = np.flatnonzero(n)
         for i in range(0, len(at), 50_000):
             x = at[i : i + 50_000]
