@@ -7,12 +7,16 @@ give the same rows; tests hold them against each other.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import replace
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from ..functions import cells
 from ..operators import core, search
 from ..operators.core import Table
 from ..sources.files import Store
@@ -125,7 +129,8 @@ def differences(table: Table) -> dict[str, int]:
 
 
 def presorted(table: Table, block: int | str, folder: str, *, parts: int | None = None) -> DataFrame:
-    """Ids in a block's prepared order, with their place: deep pages become a range of `place` instead of a sort.
+    """Ids in a block's prepared order, with its key `k` and their place: deep pages become a range of `place`, and ranges
+    of values one of `k`, instead of a sort.
 
     Range partitions are sorted by themselves; places are a partition's start plus the row's place in it."""
     n = parts or int(table.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -139,7 +144,7 @@ def presorted(table: Table, block: int | str, folder: str, *, parts: int | None
         start += [F.lit(p), F.lit(at)]
         at += sizes[p]
     base = F.element_at(F.create_map(*start), F.col("p")) if start else F.lit(0)
-    placed = read.select(table.id, (base + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("place"))
+    placed = read.select("k", table.id, (base + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("place"))
     placed.write.mode("overwrite").parquet(f"{folder}/places")
     return table.spark.read.parquet(f"{folder}/places")
 
@@ -148,6 +153,39 @@ def page_of(table: Table, places: DataFrame, offset: int, limit: int, *, ascendi
     """A page of a presorted table: only the page's ids meet the rows."""
     n = places.count() if total is None else total
     low = offset if ascending else n - offset - limit
-    want = places.filter((F.col("place") >= low) & (F.col("place") < low + limit))
+    want = places.filter((F.col("place") >= low) & (F.col("place") < low + limit)).select(table.id, "place")
     out = table.df.join(F.broadcast(want), table.id)  # `limit` rows
     return out.orderBy(F.col("place").asc() if ascending else F.col("place").desc()).drop("place")
+
+
+def range_slice(table: Table, block: int | str, places: DataFrame, low: Any = None, high: Any = None) -> DataFrame | None:
+    """id, place of the prepared order's slice from low to high, both of them in it; an open end for None or "". None if the
+    block has no prepared order and value list by its spec; inverted bounds give no rows. `places` is sorted by the key, so
+    its files' minima and maxima leave little to read."""
+    at = table.spec.resolve(block)
+    if table.spec.sorted_type(at) is None or at not in map(table.spec.resolve, table.spec.match):
+        return None
+    rows = places.select(table.id, "place", "k")
+    for end, is_low in ((low, True), (high, False)):
+        if end in (None, ""):
+            continue
+        bound = F.lit(end)
+        if isinstance(places.schema["k"].dataType, StringType):
+            kind, width = table.spec.sorted_type(at)
+            bound = cells.sort_key(F.lit(str(end)), kind, width)
+        rows = rows.filter(F.col("k") >= bound if is_low else F.col("k") <= bound)
+    return rows.select(table.id, "place")
+
+
+def list_of(table: Table, block: int | str, value: Any, *, offset: int = 0, limit: int = 0, ascending: bool = False) -> DataFrame:
+    """The ids in the list of a value, largest first unless ascending; with a limit each partition gives its best offset + limit."""
+    key = F.col(table.id)
+    found = table.postings.filter((F.col("block") == table.spec.resolve(block)) & (F.col("value") == str(value))).select(key).orderBy(key.asc() if ascending else key.desc())
+    found = found.offset(offset) if offset else found
+    return found.limit(limit) if limit else found
+
+
+def lengths_of(table: Table, block: int | str, values: Iterable[Any]) -> DataFrame:
+    """value, n of the lists asked for that have ids."""
+    rows = table.postings.filter((F.col("block") == table.spec.resolve(block)) & F.col("value").isin([str(v) for v in values]))
+    return rows.groupBy("value").agg(F.count("*").alias("n"))

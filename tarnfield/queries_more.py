@@ -14,7 +14,10 @@ from .session import scratch
 from .sources import exchange
 from .sources.catalog import Catalog
 from .sources.handles import Staging
-from .spec import table_spec
+from .sources.raw import Keyed, Lists
+from .spec import grouped_spec, table_spec
+from .streaming import feed
+from .streaming.journal import Journal
 
 # -- lists
 
@@ -309,3 +312,111 @@ def suggest_words(spark, d):
     index.build(t, folder)
     found = search.suggest_table(t, index.attached_suggestions(t, folder), "re")
     return spark.createDataFrame([(w,) for w in found], "word string")
+
+
+# parts in order of their size, which has a list of values too
+_MARKET = star.PART.with_(sort=(4, 5))
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS place FROM part QUALIFY p_size BETWEEN 10 AND 20")
+def range_slice(spark, d):
+    t = star.table(spark, d, _MARKET)
+    places = index.presorted(t, "p_size", scratch(spark, "order"))
+    assert index.range_slice(t, "p_retailprice", places, 1, 2) is None
+    return index.range_slice(t, "p_size", places, 10, 20).select("p_partkey", "place")
+
+
+@query("SELECT p_partkey FROM (SELECT p_partkey FROM part WHERE p_brand = 'Brand#2' ORDER BY p_partkey DESC LIMIT 12 OFFSET 5)")
+def index_list_slice(spark, d):
+    t = index.build(_part(spark, d), scratch(spark, "lists"))
+    return index.list_of(t, "p_brand", "Brand#2", offset=5, limit=12)
+
+
+@query("SELECT p_brand AS value, count(*) AS n FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') GROUP BY 1")
+def index_list_lengths(spark, d):
+    t = index.build(_part(spark, d), scratch(spark, "lists"))
+    return index.lengths_of(t, "p_brand", ["Brand#1", "Brand#2", "none"])
+
+
+# -- raw keys and lists, groups, migrations, journals
+
+
+def _keyed(spark, d) -> Keyed:
+    """Names by part, of which every third is put again and every fifth is gone; an undone write."""
+    raw, rows = Keyed(_catalog(spark), "names"), star.read(spark, d, "part")
+    raw.put(rows.select("p_partkey", "p_name"))
+    raw.put(rows.filter("p_partkey % 3 = 0").select("p_partkey", "p_brand"))
+    raw.delete(rows.filter("p_partkey % 5 = 0").select(F.col("p_partkey").cast("string")))
+    try:
+        with raw.catalog.transaction("undone"):
+            raw.delete([str(k) for k in range(100)])
+            raise InterruptedError
+    except InterruptedError:
+        return raw
+
+
+@query("SELECT p_partkey::VARCHAR AS key, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END AS value FROM part WHERE p_partkey % 5 <> 0")
+def raw_scan(spark, d):
+    raw = _keyed(spark, d)
+    assert raw.scan("count") == raw.scan("keys").count() == raw.scan("values").count()
+    return raw.scan()
+
+
+@query("SELECT p_partkey::VARCHAR AS key, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END AS value FROM part WHERE p_partkey IN (3, 4, 5, 6) AND p_partkey % 5 <> 0")
+def raw_get(spark, d):
+    return _keyed(spark, d).get(["3", "4", "5", "6", "none"])
+
+
+@query("SELECT k AS key, k IN (SELECT p_partkey::VARCHAR FROM part WHERE p_partkey % 5 <> 0) AS there FROM (VALUES ('3'), ('5'), ('none')) v(k)")
+def raw_exist(spark, d):
+    return _keyed(spark, d).exist(["3", "5", "none"])
+
+
+@query("""SELECT key, id FROM (SELECT p_brand AS key, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') AND p_partkey % 4 <> 0) WHERE n BETWEEN 4 AND 13""")
+def raw_lists(spark, d):
+    lists, rows = Lists(_catalog(spark), "brands"), star.read(spark, d, "part")
+    lists.put(rows.select("p_brand", "p_partkey"))
+    lists.put(rows.filter("p_partkey < 50").select("p_brand", "p_partkey"))
+    lists.delete(rows.filter("p_partkey % 4 = 0").select("p_brand", "p_partkey"))
+    lists.drop("Brand#3")
+    assert not lists.count("Brand#3").count()
+    return lists.get("Brand#1", "Brand#2", "Brand#3", offset=3, limit=10, ascending=True)
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE p_size < 5")
+def group_options(spark, d):
+    """Deleted rows are kept, as the table's group says."""
+    c, groups = _catalog(spark), {"shop": {"keep_deleted": True, "section": "a", "name": "not taken over"}}
+    spec = grouped_spec("shop_part", [("p_partkey", "auto_id"), "p_brand"], groups)
+    assert spec.keep_deleted and spec.extra == {"section": "a"}
+    assert not grouped_spec("shop_part", ["id"], groups, keep_deleted=False).keep_deleted
+    rows = star.read(spark, d, "part")
+    c.create(spec, rows.select("p_partkey", "p_brand"))
+    c.delete("shop_part", rows.filter("p_size < 5").select("p_partkey"))
+    return c.table("shop_part").deleted
+
+
+@query("SELECT p_partkey AS part, upper(p_brand) AS label, p_name AS title, '' AS note FROM part WHERE p_partkey % 2 = 1")
+def migrate_table(spark, d):
+    c, t = _catalog(spark), _part(spark, d)
+    c.create(t.spec, t.df)
+    c.delete("part", t.df.filter("p_partkey % 2 = 0").select("p_partkey"))
+    c.migrate("part", table_spec("part", [("part", "auto_id"), "label", "title", "note"]), {"part": "p_partkey", "title": "p_name"}, {"label": F.upper("p_brand")})
+    return c.table("part").df
+
+
+@query("""SELECT user_id, CASE WHEN n = 1 THEN 'add' ELSE 'edit' END AS action, last AS payload FROM (SELECT user_id, 2 AS n, 'second' AS last FROM events GROUP BY user_id HAVING max(event_id) % 2 = 0
+UNION ALL SELECT user_id, 1, 'first' FROM events GROUP BY user_id HAVING max(event_id) % 2 = 1)""")
+def journal_segments(spark, d):
+    """Two segments, of which the older is deleted once its changes are carried on; then one change a key."""
+    users = star.read(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("top"))
+    row = lambda df, action, payload: df.select("user_id", F.lit(action).alias("action"), F.lit(payload).alias("payload"))
+    j = Journal(spark, scratch(spark, "journal"))
+    j.append(row(users, "add", "dropped"))
+    j.delete(j.rotate())
+    j.append(row(users.filter("top % 2 = 1"), "add", "first"))
+    j.append(row(users.filter("top % 2 = 0"), "edit", "first"))
+    sealed = j.rotate()
+    j.append(row(users.filter("top % 2 = 0"), "edit", "second"))
+    assert j.segments() == [sealed] and j.rotate() > sealed and j.rotate() is None
+    return feed.coalesced(j.scan(), ["user_id"], "seq", "action", "payload")

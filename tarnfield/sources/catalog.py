@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -101,6 +101,24 @@ class Catalog:
             t.tables[name] = t.tables[name] | {"spec": spec.to_json()}
         return spec
 
+    def migrate(self, name: str, spec: TableSpec, renamed: dict[str, str] | None = None, values: dict[str, Column] | None = None) -> None:
+        """A table's rows under another spec, as one part: blocks with an old block's id (or with one that `renamed` leads to by
+        the new id) keep their cells, `values` makes others of the old row, what is left is empty. Rows that were deleted
+        and kept go along; older versions read as they were."""
+        renamed, values = renamed or {}, values or {}
+        with self.transaction(f"migrate {name}") as t:
+            old = self._table(t.tables, name, False, set())
+
+            def shaped(df: DataFrame) -> DataFrame:
+                cells = {b.id: values.get(b.id, F.col(f"`{renamed.get(b.id, b.id)}`") if renamed.get(b.id, b.id) in df.columns else F.lit("")) for b in spec.blocks}
+                return df.select(*[c.alias(k) for k, c in cells.items()])
+
+            new = shaped(old.df)
+            t.tables[name] = t.tables[name] | {"spec": spec.with_(name=name).to_json(), "schema": new.schema.json(), "parts": [], "deleted": []}
+            t.add(name, new, "migrate")
+            if old.deleted is not None:
+                t.aside(name, "deleted", shaped(old.deleted))
+
     def _rows(self, entry: dict, parts: list[dict]) -> DataFrame:
         schema = StructType.fromJson(json.loads(entry["schema"]))
         key = schema.fields[0].name

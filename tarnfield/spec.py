@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 from typing import Any
 
 NUMERIC = {"num", "number", "numeric", "int", "float", "decimal"}
@@ -156,6 +156,24 @@ def table_spec(name: str, blocks: list, **options: Any) -> TableSpec:
     return TableSpec(name, tuple(made), **{k: frozen(v) for k, v in options.items()})
 
 
+#: The options that a table takes from its group where it has none of its own.
+INHERITED = frozenset(
+    (
+        "use_ramdisk ramdisk_ttl use_cache cache_ttl keep_deleted log_owner use_counter use_section section use_year year "
+        "use_language lang no_transact no_backup table_dir use_junk use_simple"
+    ).split()
+)
+
+
+def grouped_spec(name: str, blocks: list, groups: dict[str, dict], *, group: str = "", **options: Any) -> TableSpec:
+    """A spec with the options of its group: the one named, or what stands before the first "_" of the table's name."""
+    found = re.match(r"([A-Za-z0-9]+)_", name)
+    taken = {k: v for k, v in groups.get(group or (found[1] if found else ""), {}).items() if k in INHERITED}
+    own = {f.name for f in fields(TableSpec)}
+    extra = {k: v for k, v in taken.items() if k not in own} | options.pop("extra", {})
+    return table_spec(name, blocks, **({k: v for k, v in taken.items() if k in own} | options), extra=extra)
+
+
 @dataclass(frozen=True)
 class Order:
     block: int | str
