@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import facet, read, search
+from .plans import index
 from .sources import exchange
 from .sources.catalog import Catalog
 from .spec import TableSpec
@@ -55,6 +56,9 @@ def parser() -> argparse.ArgumentParser:
     for name in ("vacuum", "drop", "truncate"):
         action(name, "table")
     action("rename", "table", "new")
+    action("migrate", "table", "spec", renamed={})
+    action("reindex", "table", "folder")
+    action("check", "table", "folder")
     action("export", "table", "folder")
     action("import", "table", "path")
     action("dump", "folder")
@@ -114,6 +118,13 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
             getattr(c, a.action)(a.table)
         case "rename":
             c.rename(a.table, a.new)
+        case "migrate":
+            with open(a.spec) as f:
+                c.migrate(a.table, TableSpec.from_json(f.read()), _conditions(a.renamed))
+        case "reindex":
+            index.build(table(), a.folder)
+        case "check":
+            say(index.differences(index.attached(table(), a.folder)))
         case "export":
             exchange.to_tsv(table().df, a.folder)
         case "import":

@@ -28,21 +28,23 @@ class Journal:
         rows.select((F.monotonically_increasing_id() + F.lit(start)).alias("seq"), *rows.columns).write.parquet(self.store.at(f"{OPEN}/{uuid.uuid4().hex}"))
 
     def _last(self) -> int:
-        """The largest number so far: of the open segment, or where it is empty of the newest sealed one, or a deleted one's."""
+        """The largest number so far: of the open segment, or where it is empty of those before it."""
         top = self.scan(OPEN)
         found = top.agg(F.max("seq")).first()[0] if top is not None else None
-        if found is None:
-            return int(self.store.read("last")) if self.store.exists("last") else -1
-        return found
+        return self._sealed()[0] if found is None else found
+
+    def _sealed(self) -> tuple[int, int]:
+        """The largest number in sealed segments and the newest segment, deleted ones too."""
+        return tuple(map(int, self.store.read("last").split())) if self.store.exists("last") else (-1, 0)
 
     def rotate(self) -> str | None:
         """Seal the open segment and give its name; nothing if it is empty."""
         if not self.store.names(OPEN):
             return None
-        self.store.replace("last", str(self._last()))
-        name = f"{int((self.segments() or ['0'])[-1]) + 1:012}"
-        self.store.rename(OPEN, f"sealed/{name}")
-        return name
+        number = self._sealed()[1] + 1
+        self.store.replace("last", f"{self._last()} {number}")
+        self.store.rename(OPEN, f"sealed/{number:012}")
+        return f"{number:012}"
 
     def scan(self, *segments: str) -> DataFrame | None:
         """The rows of the named segments, by default of all, the open one too; none if there are no rows."""

@@ -31,11 +31,16 @@ def test_actions(spark, tmp_path):
     assert [(r["id"], r["name"]) for r in say("read_all", "part")] == [(4, "green"), (3, "red"), (1, "black")]
     assert {r["val"]: r["count"] for r in say("facets", "part")[0][0]["records"]} == {"black": 1, "green": 1, "red": 1}
     say("vacuum", "part")
+    say("reindex", "part", tmp_path / "lists")
+    assert say("check", "part", tmp_path / "lists") == [{"postings": 0, "tokens": 0}]
     say("export", "part", tmp_path / "tsv")
     assert say("dump", tmp_path / "out") == [{"part": 3}]
     say("rename", "part", "thing")
     assert sorted((r["value"], r["n"]) for r in say("count", "thing", "--block", "name", "--keys", "red,none")) == [("none", 0), ("red", 1)]
     assert [x["action"] for x in say("history", "part", "--id", 4)[0]["trail"]] == ["insert"]
+    (tmp_path / "new.json").write_text(table_spec("thing", [("id", "auto_id"), "title", "note"]).to_json())
+    say("migrate", "thing", tmp_path / "new.json", "--renamed", '{"title": "name"}')
+    assert say("read", "thing", 3) == [{"id": 3, "title": "red", "note": ""}]
     say("truncate", "thing")
     assert say("count", "thing") == [0]
     say("drop", "thing")
