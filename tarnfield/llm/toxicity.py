@@ -27,7 +27,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import sys
+from collections.abc import Iterator
+from functools import cache
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,32 +54,91 @@ LEAST = 0.05
 #: Centroids that the examples are ordered by, and the most widespread terms that these see.
 CENTROIDS, SEEN = 16, 256
 WORD = re.compile(r"[^\W\d_]+")
+NO_LETTER = re.compile(r"[\W\d_]")
+#: Code points that words are found in at once.
+AT_ONCE = 1 << 20
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Of each code point whether WORD takes it."""
+    out = np.zeros(sys.maxunicode + 1, dtype=bool)
+    for m in WORD.finditer(np.arange(len(out), dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")):
+        out[m.start() : m.end()] = True
+    return out
 
 
 class Matcher:
-    """Counts of the index's terms in a text."""
+    """Counts of the index's terms in texts: many texts at once, as arrays, with one look-up for equal words."""
 
     def __init__(self, terms: list[str]):
-        self.place = {t: i for i, t in enumerate(terms)}
-
-    def arrays(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The terms' numbers, ascending, and how often each stands in the text."""
-        often = Counter(WORD.findall(text.lower())) if text and self.place else {}
-        own = often.keys() & self.place.keys()
-        t = np.fromiter(map(self.place.__getitem__, own), "i4", len(own))
-        n = np.fromiter(map(often.__getitem__, own), "i4", len(own))
-        order = np.argsort(t)
-        return t[order], n[order]
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        """The terms' numbers, in no order."""
-        own = self.place.keys() & set(WORD.findall(text.lower())) if text else ()
-        return np.fromiter(map(self.place.__getitem__, own), "i4", len(own))
+        self.place = {t.encode("utf-8", "surrogatepass"): i for i, t in enumerate(terms)}
+
+    def many(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the terms' numbers, ascending, and how often each stands in it."""
+        key, n = self._keys(texts)
+        ends = np.searchsorted(key, np.arange(len(texts) + 1) * len(self.place)).tolist()
+        t, n = (key % max(1, len(self.place))).astype("i4"), n.astype("i4")
+        return ((t[a:b], n[a:b]) for a, b in pairwise(ends))
+
+    def holders(self, texts: list[str | None]) -> np.ndarray:
+        """Of each term how many of the texts have it."""
+        return np.bincount(self._keys(texts)[0] % max(1, len(self.place)), minlength=len(self.place))
 
     def counts(self, text: str | None) -> dict[int, int]:
-        t, n = self.arrays(text)
+        ((t, n),) = self.many([text])
         return dict(zip(t.tolist(), n.tolist(), strict=True))
 
+    def _keys(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """A text's place in the list times the number of terms, plus a term that it has: ascending; and how often."""
+        keys, often = [np.zeros(0, dtype="i8")], [np.zeros(0, dtype="i8")]
+        for row, part in _parts(texts):
+            words, n_words = _words(part)
+            known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+            term = np.fromiter(map(self.place.get, known, repeat(-1)), "i8", len(known))[words.indices.to_numpy()]
+            key, n = np.unique((np.repeat(np.array(row) * len(self.place), n_words) + term)[term >= 0], return_counts=True)
+            keys.append(key)
+            often.append(n)
+        key, n = np.concatenate(keys), np.concatenate(often)
+        if (key[1:] <= key[:-1]).any():  # a text came in several parts
+            key, at = np.unique(key, return_inverse=True)
+            n = np.bincount(at, n).astype("i8")
+        return key, n
+
+
+def _parts(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Lower-case texts and their places in the list, about AT_ONCE code points at a time; longer ones are cut between words."""
+    row, part, size = [], [], 0
+    for i, text in enumerate(texts):
+        text, start = text.lower() if text else "", 0
+        while start < len(text):
+            cut = NO_LETTER.search(text, start + AT_ONCE)
+            piece = text[start : cut.start()] if cut else text[start:]
+            row.append(i)
+            part.append(piece)
+            start, size = start + len(piece), size + len(piece)
+            if size >= AT_ONCE:
+                yield row, part
+                row, part, size = [], [], 0
+    if part:
+        yield row, part
+
+
+def _words(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts, one behind the other, in UTF-8, and how many each text has."""
+    text = "\n".join(["", *texts, ""])
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = _letters()[points]
+    edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    n_words = np.diff(np.searchsorted(start, np.cumsum([1, *(len(t) + 1 for t in texts)])))
+    width = 1 + (points >= 0x80).astype("u1") + (points >= 0x800) + (points >= 0x10000)
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), "u1")[np.repeat(letter, width)]
+    at = np.cumsum(width, dtype="i8")  # from start - 1 to end - 1 a word's bytes; no word stands first
+    ends = np.concatenate(([0], np.cumsum(at[end - 1] - at[start - 1])))
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    return words.dictionary_encode(), n_words
+
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... for size[0] numbers, then those from start[1] on, ..."""
@@ -223,7 +285,7 @@ def build(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int =
     labels_of = np.array([r["y"] for r in rows], dtype="i8")
     terms = sorted({w for r in rows for w in WORD.findall(r["text"].lower())})
     matcher = Matcher(terms)
-    vectors = [matcher.arrays(r["text"]) for r in rows]
+    vectors = [v for i in range(0, len(rows), 500) for v in matcher.many([r["text"] for r in rows[i : i + 500]])]
     ids, size = np.array([r["doc_id"] for r in rows], dtype="i8"), len(terms)
     del rows, matcher
     n, a = np.zeros(size), np.zeros(size)
@@ -245,8 +307,7 @@ def document_counts(texts: DataFrame, terms: list[str]) -> DataFrame:
     def run(batches):
         matcher, n = Matcher(terms), np.zeros(len(terms), dtype="i8")
         for b in batches:
-            for t in b.column(0).to_pylist():
-                n[matcher.numbers(t)] += 1
+            n += matcher.holders(b.column(0).to_pylist())
         at = np.flatnonzero(n)
         for i in range(0, len(at), 50_000):
             x = at[i : i + 50_000]
@@ -266,11 +327,8 @@ def score_column(index: Index, text: Column) -> Column:
     def of(text: pa.Array) -> pa.Array:
         if "m" not in made:
             made["m"] = index.matcher()
-        answer = {}  # copies have the same
-        for t in (texts := text.to_pylist()):
-            if t not in answer:
-                counts = made["m"].arrays(t)
-                answer[t] = (*index.score(counts), len(counts[0]))
+        own = list(dict.fromkeys(texts := text.to_pylist()))  # copies have the same
+        answer = {t: (*index.score(counts), len(counts[0])) for t, counts in zip(own, made["m"].many(own), strict=True)}
         kinds = (pa.float64(), pa.list_(pa.int64()), pa.int32())
         parts = [pa.array(c, k) for c, k in zip(zip(*[answer[t] for t in texts], strict=True) if texts else ((), (), ()), kinds, strict=True)]
         return pa.StructArray.from_arrays(parts, ["score", "evidence", "n_terms"])

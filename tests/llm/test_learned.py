@@ -119,6 +119,41 @@ def test_terms_are_counted_as_words_are():
     assert m.counts(None) == {} and toxicity.Matcher([]).counts("bad") == {}
 
 
+def _odd_texts(rng):
+    draw = lambda: "".join(rng.choice(list("aBcÉΣσς 1_\n-日\U00010400½́İ"), rng.integers(0, 60)))
+    odd = [None, "", "\n", "Σας ΣΑΣ ΟΔΟΣ", "İstanbul İ", "a1b_c²d½e٣f", "日本語テキスト。漢字", "\U0001f600x\U00020000y", "ǅ ﬁ ß ẞ", "a\x00b", "x" * 300]
+    return odd + [draw() for _ in range(300)]
+
+
+@pytest.mark.parametrize("at_once", [toxicity.AT_ONCE, 50, 1])
+def test_terms_of_many_texts_are_those_of_each(monkeypatch, at_once):
+    monkeypatch.setattr(toxicity, "AT_ONCE", at_once)
+    odd = _odd_texts(np.random.default_rng(6))
+    words = [Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for t in odd]
+    terms = sorted(set().union(*words))[::2]
+    m = toxicity.Matcher(terms)
+    got = list(m.many(odd))
+    assert all((np.diff(t) > 0).all() for t, _ in got)
+    assert [dict(zip(t.tolist(), n.tolist(), strict=True)) for t, n in got] == [{i: w[x] for i, x in enumerate(terms) if x in w} for w in words]
+    assert m.holders(odd).tolist() == [sum(x in w for w in words) for x in terms]
+    assert list(m.many([])) == [] and m.holders([]).tolist() == [0] * len(terms)
+
+
+def test_equal_words_of_a_batch_are_looked_up_once():
+    """A word is looked up once for all texts of a batch, not once for each."""
+    looked_up = Counter()
+
+    class Place(dict):
+        def get(self, word, *other):
+            looked_up[word] += 1
+            return super().get(word, *other)
+
+    m = toxicity.Matcher(["bad", "ugly"])
+    m.place = Place(m.place)
+    assert [dict(zip(t.tolist(), n.tolist(), strict=True)) for t, n in m.many(["Bad bad good", "ugly bad", "good"] * 100)] == [{0: 2}, {0: 1, 1: 1}, {}] * 100
+    assert looked_up == {b"bad": 1, b"ugly": 1, b"good": 1}
+
+
 def _votes_by_hand(docs, examples):
     """Votes and evidence of texts by plain dictionaries: every cosine with every example, no index."""
     words = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
