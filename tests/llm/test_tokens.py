@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarnfield.llm import attribution, bpe, queries, tokenbin
@@ -115,3 +117,25 @@ def test_attribution_of_the_table_and_of_fields(spark, sf_dir, tokenizer):
     assert rows[1]["n_sections"] == 2 and sum(rows[2]["section_tokens"]) == rows[2]["n_tokens"]
     with pytest.raises(ValueError):
         attribution.by_line(df.withColumnRenamed("title", "text"), queries.tokenizer(), "other")
+
+
+def test_attribution_of_very_many_lines_takes_time_in_proportion(spark):
+    n = 40_000
+    df = spark.createDataFrame([(1, "a b\n" * n)], "doc_id long, text string")
+    began = time.monotonic()
+    (row,) = attribution.by_line(df, queries.tokenizer()).collect()
+    assert time.monotonic() - began < 30
+    assert row["n_sections"] == n + 1 and row["section_tokens"] == [3] * n + [0] and row["n_crossing"] == 0
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_texts_are_attributed_in_parts_of_bounded_bytes(monkeypatch, most):
+    monkeypatch.setattr(attribution, "PART", most)
+    texts = ["", "a", "\n", "é\n\n字 x\n", "", "b\n" * 30, "c", ""] * 70
+    b = pa.RecordBatch.from_arrays([pa.array(range(1, len(texts))), pa.array(["gone\n", *texts]).slice(2)], ["doc_id", "text"])
+    parts = list(attribution._parts(b))
+    assert [x for ids, _, _ in parts for x in ids.to_pylist()] == list(range(1, len(texts)))
+    assert [x for _, t, _ in parts for x in t.to_pylist()] == texts[1:]
+    assert all(len(t) == 1 or len(t) <= 512 and sum(len(x.encode()) for x in t.to_pylist()) <= most for _, t, _ in parts)
+    lines = [[p + "\n" for p in x.split("\n")[:-1]] + x.split("\n")[-1:] for x in texts[1:]]
+    assert [e.tolist() for _, _, borders in parts for e in borders] == [np.cumsum([len(p.encode()) for p in x]).tolist() for x in lines]
