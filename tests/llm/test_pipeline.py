@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
+import pytest
+
 import corpus_pipeline
 from tarnfield.llm import queries
 from tarnfield.llm.common import scratch, table
 
+from . import cases
 from .test_lines_windows import windows_by_hand
 from .test_simhash import by_hand as simhash_by_hand
 from .test_tokens import by_hand as tokens_by_hand
@@ -78,3 +83,20 @@ def test_targets_are_reached_on_what_the_mixing_stage_gets(spark):
     for r in rows:
         push = sum(r[f"p_{k}"] * miss[k] for k in held)
         assert push >= -1e-3 and (r["rate"] < 1e-6 or push <= 1e-3), (r, miss)
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_a_stage_begins_without_what_earlier_ones_left_in_the_driver(spark, sf_dir, name):
+    def resident() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGESIZE") >> 20
+
+    jvm = spark.sparkContext._jvm
+    gone = jvm.java.lang.ref.WeakReference(jvm.java.lang.Object())
+    held = [bytes(2000) for _ in range(100_000)]
+    kept, before = held[::5000], resident()
+    held.append(held)  # a cycle, as models in closures are
+    del held
+    dict(corpus_pipeline.STAGES)[name](spark, cases.documents(spark), sf_dir)
+    assert len(kept) == 20 and resident() < before - 100
+    assert gone.get() is None
