@@ -8,6 +8,7 @@ are encoded as they are.
 from __future__ import annotations
 
 import json
+import struct
 import sys
 from array import array
 from collections.abc import Iterable
@@ -25,6 +26,8 @@ _ODD = "  |\n\n| \n| $|[" + "".join(f"\\x{{{ord(c):x}}}" for c in _OTHER) + "]"
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
 
 def _raw(ids: list[int]) -> bytes:
     a = array("I", ids)
@@ -72,18 +75,19 @@ class UnitEncoder:
         known, tokenize, rest = self.units, self.tokenizer.model.tokenize, []
         marks = {mark: self._plain([mark])[0] for mark in ",."}
         for u in new:
-            ended = u[-1] in marks and u[-2:-1].isalpha()
+            ended = u[-1] in ",." and u[-2:-1].isalpha()
             base = u[:-1] if ended else u
             raw = known.get(base)
             if raw is None:
-                if not base.isalpha() and not (base[0] == " " and base[1:].isalpha()):
+                blank = base[0] == " "
+                letters = base[1:] if blank else base
+                if not letters.isalpha():
                     rest.append(u)
                     continue
-                if base.isascii():
-                    written = "\u0120" + base[1:] if base[0] == " " else base
-                else:
-                    written = base.encode().decode("latin-1").translate(_LETTERS)
-                raw = known[base] = _raw([t.id for t in tokenize(written)])
+                if not letters.isascii():
+                    letters = letters.encode().decode("latin-1").translate(_LETTERS)
+                ids = [t.id for t in tokenize("\u0120" + letters if blank else letters)]
+                raw = known[base] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else _raw(ids)
             if ended:
                 known[u] = raw + marks[u[-1]]
         spaced = [u for u in rest if u[0] == " " and len(u) > 1]
@@ -92,23 +96,26 @@ class UnitEncoder:
         for a in range(0, len(spaced), 20_000):
             known.update(self._together(spaced[a : a + 20_000]))
 
-    @staticmethod
-    def _size(unit: tuple[str, bytes]) -> int:
-        return 150 + len(unit[0]) + len(unit[1])
+    def _size(self, start: int) -> int:
+        """What the units from a place on take."""
+        units, ids = islice(self.units, start, None), islice(self.units.values(), start, None)
+        return 150 * (len(self.units) - start) + sum(map(len, units)) + sum(map(len, ids))
 
     def _values(self, units: list[str]) -> list[bytes]:
         """The ids of distinct units."""
+        if self.held > self.max_bytes:
+            # units met first are the frequent ones
+            self.units = dict(islice(self.units.items(), len(self.units) // 2)) | {"": b""}
+            self.held = self._size(0)
         known = self.units
-        if new := [u for u in units if u not in known]:
-            if self.held > self.max_bytes:
-                # units met first are the frequent ones
-                self.units = known = dict(islice(known.items(), len(known) // 2)) | {"": b""}
-                self.held = sum(map(self._size, known.items()))
-                new = [u for u in units if u not in known]
+        values = list(map(known.get, units))  # one look at each unit
+        if new := [i for i, raw in enumerate(values) if raw is None]:
             before = len(known)
-            self._learn(new)
-            self.held += sum(map(self._size, islice(reversed(known.items()), len(known) - before)))
-        return list(map(known.__getitem__, units))
+            self._learn([units[i] for i in new])
+            self.held += self._size(before)
+            for i in new:
+                values[i] = known[units[i]]
+        return values
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
@@ -122,7 +129,7 @@ class UnitEncoder:
         marked = pc.replace_substring(pc.replace_substring(even, " ", "\0 "), "\n", "\0\n\0")
         lists = pc.split_pattern(marked, "\0")
         units = lists.flatten().dictionary_encode()
-        values = self._values(units.dictionary.to_pylist())
+        values = self._values(units.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, values), dtype="i4", count=len(values)) >> 2
         starts = np.concatenate(([0], np.cumsum(sizes)))
         codes = units.indices.to_numpy(zero_copy_only=False)

@@ -25,17 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, scratch, stored
+from .common import bounded_batches, scratch
 
 BLOCK = 65_536
+#: Shards whose blocks are listed by one file of the index.
+LISTED = 8
 _HEAD = struct.Struct("<4sBBBBIIII")
 PIECE = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("doc_start", "<i8"), ("at", "<i8"), ("start", "<u4"), ("n", "<u4"), ("doc_n", "<i8")])
 _CHUNK_SCHEMA = "shard int, chunk int, first long, n_ids int, n_bytes int, blob binary"
 _ROW_SCHEMA = "doc_id long, shard int, doc_start long, at long, n long, doc_n long, crc long"
+_DOC_COLUMNS = ["doc_id", "shard", "doc_start", "doc_n", "crc"]
+_DOC_SCHEMA = "doc_id long, shard int, doc_start long, doc_n long, crc long"
 
 
 def pack(ids: np.ndarray, pieces: np.ndarray, mode: str = "byte", level: int = 3) -> bytes:
@@ -165,7 +170,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, mode: s
         .write.option("compression", "none").parquet(f"{folder}/chunks"))
     chunks = spark.read.schema(_CHUNK_SCHEMA).parquet(f"{folder}/chunks")
     index = chunks.join(F.broadcast(_bases(chunks)), "shard").select("shard", "chunk", (F.col("first") + F.col("base")).alias("first"), "n_ids", "n_bytes")
-    index.write.parquet(f"{folder}/index")
+    index.coalesce(max(1, n // LISTED)).write.parquet(f"{folder}/index")
     return folder
 
 
@@ -187,25 +192,40 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _joined_crc(parts):
-    """Only for the few documents that lie in more than one block, one or two of each block."""
+def _joined_crc(parts: list[dict]) -> int:
     out = 0
     for p in sorted(parts, key=lambda x: x["at"]):
         out = crc32_join(out, p["crc"], 4 * p["n"])
     return out
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of their pieces, which are all in one partition. Documents of one piece are passed on as they come; pieces
+    of the others, one or two of each block, are held till the last is there."""
+    held: dict[tuple, list] = {}  # by shard and start: the ids that are missing, the pieces
+    for b in batches:
+        one = pc.equal(b.column("n"), b.column("doc_n"))
+        found = []
+        for p in b.filter(pc.invert(one)).to_pylist():
+            got = held.setdefault((p["shard"], p["doc_start"]), [p["doc_n"], []])
+            got[0] -= p["n"]
+            got[1].append(p)
+            if not got[0]:
+                del held[p["shard"], p["doc_start"]]
+                found.append({c: p[c] for c in _DOC_COLUMNS} | {"crc": _joined_crc(got[1])})
+        whole = b.filter(one).select(_DOC_COLUMNS)
+        yield whole
+        if found:
+            yield pa.RecordBatch.from_pylist(found, schema=whole.schema)
+    if held:
+        raise ValueError(f"blocks with pieces of {len(held)} documents are missing")
+
+
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the blocks; each block is decoded by itself."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the blocks; each block is decoded by itself, once."""
     chunks = spark.read.schema(_CHUNK_SCHEMA).parquet(f"{folder}/chunks")
-    pieces = stored(chunks.select("shard", "blob").mapInArrow(_pieces, _ROW_SCHEMA), "pieces")
-    whole = pieces.filter("n = doc_n").select("doc_id", "shard", "doc_start", "doc_n", "crc")
-    cut = (
-        pieces.filter("n < doc_n").groupBy("doc_id", "shard", "doc_start", "doc_n")
-        .agg(F.collect_list(F.struct("at", "n", "crc")).alias("parts"))
-        .select("doc_id", "shard", "doc_start", "doc_n", F.udf(_joined_crc, "long")("parts").alias("crc"))
-    )
-    return whole.unionByName(cut).join(F.broadcast(_bases(chunks)), "shard").select(
+    pieces = chunks.select("shard", "blob").mapInArrow(_pieces, _ROW_SCHEMA).repartition("shard", "doc_start")
+    return pieces.mapInArrow(_whole, _DOC_SCHEMA).join(F.broadcast(_bases(chunks)), "shard").select(
         "doc_id", (F.col("base") + F.col("doc_start")).alias("start"), F.col("doc_n").alias("n_tokens"), F.col("crc").alias("ids_crc32")
     )
 

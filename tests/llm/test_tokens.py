@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 import zlib
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tarnfield.llm import attribution, bpe, queries, tokenbin
+from tarnfield.llm import attribution, bpe, common, queries, tokenbin
 from tarnfield.llm.common import scratch, table
 
 from . import cases
@@ -55,6 +56,35 @@ def test_a_range_is_read_by_the_index(spark, sf_dir, tokenizer):
         assert np.array_equal(tokenbin.read_range(spark, folder, a, n), ids[a : a + n])
 
 
+def _files(folder: str) -> list[str]:
+    return [os.path.join(d, x) for d, _, names in os.walk(folder.removeprefix("file:")) for x in names if x.startswith("part-")]
+
+
+def test_besides_the_blocks_few_files_are_written(spark, monkeypatch):
+    n, old = 32, spark.conf.get("spark.sql.shuffle.partitions")
+    folder = scratch(spark, "few-files")
+    monkeypatch.setattr(tokenbin, "scratch", lambda _, name: f"{folder}/{name}")
+    monkeypatch.setattr(common, "scratch", lambda _, name: f"{folder}/{name}")
+    df = spark.range(2000).selectExpr("id AS doc_id", "repeat(concat('words of text ', id, ' '), 100) AS text")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        tokenbin.documents_of(df, queries.tokenizer()).write.parquet(f"{folder}/out")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    files = _files(folder)
+    blocks = [f for f in files if "/chunks/" in f]
+    assert len(blocks) == n and len(files) <= n + n // 4, sorted(files)
+
+
+def test_texts_of_many_blocks_need_all_of_them(spark, tokenizer):
+    docs = [(d, f"some words {d} " * k) for d, k in enumerate((30_000, 1, 0, 90_000, 20, 25_000))]
+    folder = tokenbin.write(spark.createDataFrame(docs, "doc_id long, text string"), queries.tokenizer(), scratch(spark, "long-texts"))
+    assert cases.bag(tokenbin.read_documents(spark, folder), *COLUMNS) == by_hand(docs, tokenizer)
+    spark.read.parquet(f"{folder}/chunks").filter("chunk != 1").write.parquet(f"{folder}/damaged/chunks")
+    with pytest.raises(Exception, match="are missing"):
+        tokenbin.read_documents(spark, f"{folder}/damaged").collect()
+
+
 @pytest.mark.parametrize("mode", ["byte", "bit"])
 def test_blocks_round_trip(mode):
     rng = np.random.default_rng(3)
