@@ -21,7 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def stage(f: Stage) -> Stage:
-    """f, begun without what the stages before it have left in the driver's memory."""
+    """f, begun without what the stages before it have left in the driver's memory and in the executors' JVMs."""
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         give_back(spark)

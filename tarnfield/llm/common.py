@@ -44,13 +44,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def give_back(spark: SparkSession) -> None:
     """Return to the system what the driver holds but no longer needs: models that an earlier step has built in Python and
-    the pages that they leave, and in the JVM plans, broadcasts and the heap that they made grow."""
+    the pages that they leave, and in the JVM plans, broadcasts and the heap that they made grow. The executors' JVMs give
+    back their heaps too; they are reached by as many tasks as can run at once, and one that gets none keeps what it has."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
     if trim:
         trim(0)
     spark.sparkContext._jvm.java.lang.System.gc()
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
 
 
 def text_of(column: str = "text") -> Column:

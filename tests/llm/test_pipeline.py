@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -100,3 +102,44 @@ def test_a_stage_begins_without_what_earlier_ones_left_in_the_driver(spark, sf_d
     dict(corpus_pipeline.STAGES)[name](spark, cases.documents(spark), sf_dir)
     assert len(kept) == 20 and resident() < before - 100
     assert gone.get() is None
+
+
+#: Run by itself, as it needs an executor of its own: MB of its JVM before and after give_back.
+LEFT = """
+import re, time
+import psutil
+from pyspark.sql import SparkSession
+from tarnfield.llm.common import give_back
+
+def size():
+    for p in psutil.Process().children(recursive=True):
+        if "CoarseGrainedExecutorBackend" in " ".join(p.cmdline()):
+            with open(f"/proc/{p.pid}/smaps_rollup") as f:
+                return sum(map(int, re.findall(r"Pss_Anon: +([0-9]+)", f.read()))) >> 10
+
+conf = {"spark.master": "local-cluster[1,1,1600]", "spark.executor.memory": "1400m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.ui.showConsoleProgress": "false"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+spark.range(1).selectExpr("length(concat(repeat('x', 200000000 + id), 'y')) AS n").collect()
+before = size()
+give_back(spark)
+for _ in range(50):  # G1 returns pages by and by
+    after = size()
+    if after < before - 200:
+        break
+    time.sleep(0.2)
+print("MB", before, after)
+"""
+
+
+def test_executors_give_back_what_earlier_stages_left(tmp_path):
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    home = tmp_path / "spark"
+    home.mkdir()
+    for p in os.scandir(os.path.dirname(__import__("pyspark").__file__)):
+        if p.name != "work":
+            (home / p.name).symlink_to(p.path)
+    env = os.environ | {"PYTHONPATH": root, "SPARK_HOME": str(home), "PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_IP": "127.0.0.1"}
+    out = subprocess.run([sys.executable, "-c", LEFT], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=180)
+    assert "MB" in out.stdout, out.stderr[-2000:]
+    before, after = map(int, out.stdout.split("MB")[1].split())
+    assert after < before - 200, (before, after)
