@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType
 from ..functions import cells
 from ..operators import core, search
 from ..operators.core import Table
+from ..session import scratch
 from ..sources.files import Store
 
 
@@ -71,12 +72,16 @@ def upkeep(table: Table, folder: str, rows: DataFrame | None = None, ids: DataFr
     table after the write. build() folds all changes in again."""
     spark, changes = table.spark, f"{folder}/changes"
     number = _number(spark, changes) + 1
+    if rows is not None:  # what an update joins for its rows is joined once, not for each kind of list
+        path = scratch(spark, "changed")
+        rows.select(*table.df.columns).write.parquet(path)
+        rows = spark.read.parquet(path)
     gone = [x.select(F.col(x.columns[0]).alias(table.id)) for x in (None if rows is None else rows.select(table.id), ids) if x is not None]
     if not gone:
         return attached(table, folder)
     if rows is not None:
         for name, make in _lists(table).items():
-            made = make(replace(table, df=rows.select(*table.df.columns), postings=None, tokens=None))
+            made = make(table.with_df(rows))
             made.withColumn("change", F.lit(number)).write.mode("append").parquet(f"{changes}/{name}")
     # written last: a write that broke off before has changed nothing that attached() looks at
     reduce(lambda a, b: a.unionByName(b), gone).distinct().withColumn("change", F.lit(number)).write.mode("append").parquet(f"{changes}/gone")

@@ -231,3 +231,18 @@ def test_filters_reach_the_scan(spark, sf_dir):
     page = read.field_filter(star.table(spark, sf_dir, star.PART), {4: {"min": 5, "max": 9}, "p_brand": "Brand#2"}, keys_only=True)
     plan = page.df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "GreaterThanOrEqual(p_size" in plan and "p_name" not in plan.split("ReadSchema")[1]
+
+
+def test_changed_rows_are_made_once_for_all_lists(spark, books, tmp_path):
+    built, seen = index.build(books, str(tmp_path)), spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def same(n):
+        seen.add(1)
+        return n
+
+    key = books.id
+    rows = books.df.limit(3).localCheckpoint().withColumn(key, same.asNondeterministic()(F.col(key)))
+    index.upkeep(books, str(tmp_path), rows)
+    assert built.postings is not None and seen.value == 3
+    assert index.differences(index.attached(books, str(tmp_path))) == {"postings": 0, "tokens": 0}
