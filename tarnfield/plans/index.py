@@ -40,19 +40,26 @@ def matching_ids(table: Table, wanted: dict[int, list[str]], kind: str) -> DataF
     return found.groupBy(table.id).agg(F.count_distinct("block").alias("n")).filter(F.col("n") == len(wanted)).select(table.id)
 
 
+def _dealt(table: Table) -> Table:
+    """The table with its rows dealt by id over as many tasks as there are cores or more. A few million rows of short cells
+    can lie in one Parquet row group, and making words and values costs far more than reading and moving the cells."""
+    n = max(table.spark.sparkContext.defaultParallelism, int(table.spark.conf.get("spark.sql.shuffle.partitions")))
+    return table.with_df(table.df.repartition(n, table.id))
+
+
 def build(table: Table, folder: str, parts: int | None = None) -> Table:
     """Write the table's lists into a folder and give the table with them. A frequent value's rows lie in several files:
     rows are dealt by range of (block, value, id)."""
     spark = table.spark
     Store(spark, folder).delete("changes")
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = {}
+    made, dealt = {}, _dealt(table)
     if table.spec.match:
-        rows = postings(table).repartitionByRange(n, "block", "value", table.id).sortWithinPartitions("block", "value", table.id)
+        rows = postings(dealt).repartitionByRange(n, "block", "value", table.id).sortWithinPartitions("block", "value", table.id)
         rows.write.mode("overwrite").partitionBy("block").parquet(f"{folder}/postings")
         made["postings"] = spark.read.parquet(f"{folder}/postings")
     if table.spec.search:
-        rows = search.tokens(table).repartitionByRange(n, "block", "word", table.id).sortWithinPartitions("block", "word", table.id)
+        rows = search.tokens(dealt).repartitionByRange(n, "block", "word", table.id).sortWithinPartitions("block", "word", table.id)
         rows.write.mode("overwrite").partitionBy("block").parquet(f"{folder}/tokens")
         made["tokens"] = spark.read.parquet(f"{folder}/tokens")
     if table.spec.suggest:

@@ -233,6 +233,15 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "PushedFilters: [" in plan and "GreaterThanOrEqual(p_size" in plan and "p_name" not in plan.split("ReadSchema")[1]
 
 
+def test_lists_are_made_over_all_cores(spark, books, tmp_path, monkeypatch):
+    tasks = []
+    for where, name in ((index, "postings"), (search, "tokens")):
+        make = getattr(where, name)
+        monkeypatch.setattr(where, name, lambda t, make=make: tasks.append(t.df.rdd.getNumPartitions()) or make(t))
+    index.build(books.with_df(books.df.coalesce(1)), str(tmp_path))
+    assert len(tasks) == 2 and min(tasks) >= spark.sparkContext.defaultParallelism
+
+
 def test_changed_rows_are_made_once_for_all_lists(spark, books, tmp_path):
     built, seen = index.build(books, str(tmp_path)), spark.sparkContext.accumulator(0)
 
