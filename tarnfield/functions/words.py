@@ -10,9 +10,24 @@ from pyspark.sql import functions as F
 from .locales import SPLITTERS, Locale
 
 
+def _doubles(rules: list[tuple[str, str]]) -> bool:
+    """Whether all spelling rules only write a doubled letter once."""
+    return all(len(p) == 2 and p == by + by for p, by in rules)
+
+
+def _spelled(w: Column, rules: list[tuple[str, str]]) -> Column:
+    """Lower-case text by a language's spelling rules. Doubled letters don't meet each other, so their rules are one pass."""
+    if rules and _doubles(rules):
+        return F.regexp_replace(w, "([" + re.escape("".join(by for _, by in rules)) + r"])\1", "$1")
+    for pattern, to in rules:
+        w = F.regexp_replace(w, f"(?i){pattern}", to)
+    return w
+
+
 def _plain_words(c: Column, locale: Locale, write: bool, min_char: int, stop: list[str]) -> Column:
     """As Locale.words does for a text of ASCII letters without & and <."""
     cut = "[" + re.escape(SPLITTERS) + "]+"
+    rules = list(locale.data.get("phonetic", ()))
     if write:
         joint, by = rf"([a-zA-Z]+){cut}([a-zA-Z]+)", "$1 $1$2"
     else:
@@ -20,14 +35,15 @@ def _plain_words(c: Column, locale: Locale, write: bool, min_char: int, stop: li
 
     def cleaned(w: Column) -> Column:
         w = F.trim(F.regexp_replace(F.lower(w), r"[^a-zA-Z0-9&.,_\-]+", " "))
-        for pattern, to in locale.data.get("phonetic", ()):
-            w = F.regexp_replace(w, f"(?i){pattern}", to)
+        w = _spelled(w, rules)
         return F.regexp_replace(w, r"^[^a-z0-9]+|[^a-z0-9]+$", "")
 
     long = lambda w: F.char_length(w) >= min_char
     tokens = F.filter(F.split(c, r"\s+"), long)
     parts = F.flatten(F.transform(tokens, lambda t: F.split(F.regexp_replace(t, joint, by), " ")))
     words = F.flatten(F.transform(parts, lambda w: F.split(cleaned(w), " ")))
+    if _doubles(rules) and min_char > 0:  # letters, digits and blanks only: nothing to part or to clean
+        words = F.when(c.rlike(r"^[a-zA-Z0-9\s]*$"), F.split(_spelled(F.lower(c), rules), r"\s+")).otherwise(words)
     words = F.array_distinct(F.filter(words, long))
     return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
 

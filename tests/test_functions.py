@@ -82,6 +82,13 @@ def test_plain_words_are_the_exact_ones(spark, texts):
             assert sorted(r["w"]) == sorted(gb.words(r["t"], write)), r["t"]
 
 
+def test_cells_of_plain_words_are_spelled_in_one_pass(spark):
+    texts, gb = ["Red BOLT", "hotter  Ballroom\tnn nnn bb", " a aa 12 x1 ", "", "aabbccddd", "off-set small", "ll\n"], locale("gb")
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select("t", words.ascii_words(F.col("t"), gb, True).alias("w"))
+    assert {r["t"]: sorted(r["w"]) for r in made.collect()} == {t: sorted(gb.words(t, True)) for t in texts}
+    assert made._jdf.queryExecution().analyzed().toString().count("regexp_replace") < 10
+
+
 def test_passwords_and_rules(spark):
     stored = text.hash_password("geheim")
     assert text.verify_password("geheim", stored) and not text.verify_password("x", stored) and text.verify_password("x", "") and text.hash_password("") == ""
