@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType
+from pyspark.sql.types import ArrayType, DataType, NumericType, StringType
 
 from ..spec import DATES, LISTS, MAPS, NUMERIC, Order, Range
 
@@ -39,8 +39,14 @@ def values(c: Column | str, kind: DataType | None = None) -> Column:
             parts = leaves.cast("array<string>")
     else:
         parts = F.split(c.cast("string"), "[,;]")
+    none = F.array().cast("array<string>")
+    if isinstance(kind, NumericType):  # a number is one value
+        return F.when(c.isNull(), none).otherwise(F.array(c.cast("string")))
     clean = F.transform(F.filter(parts, lambda x: x.isNotNull()), lambda x: trim_space(x))
-    return F.coalesce(F.filter(clean, lambda x: x != ""), F.array().cast("array<string>"))
+    found = F.coalesce(F.filter(clean, lambda x: x != ""), none)
+    if isinstance(kind, StringType):  # most cells are one value that needs no trimming
+        found = F.when((c != "") & ~c.rlike(r"[,;\u00a0\t\n\x0B\f\r]|^ | $|  "), F.array(c)).otherwise(found)
+    return found
 
 
 def holds_any(c: Column | str, wanted: list[str], kind: DataType | None = None) -> Column:

@@ -255,3 +255,9 @@ def test_changed_rows_are_made_once_for_all_lists(spark, books, tmp_path):
     index.upkeep(books, str(tmp_path), rows)
     assert built.postings is not None and seen.value == 3
     assert index.differences(index.attached(books, str(tmp_path))) == {"postings": 0, "tokens": 0}
+
+
+def test_cells_of_one_value_and_cells_to_trim(spark):
+    cells_of = lambda kind, *vs: [r[0] for r in spark.createDataFrame([(v,) for v in vs], f"c {kind}").coalesce(1).select(cells.values("c", spark.createDataFrame([], f"c {kind}").schema["c"].dataType)).collect()]
+    assert cells_of("string", "a b", " a", "a ", "a  b", "a\tb", "a\u00a0b", "a\n", "", " ", None, "a, b;;c") == [["a b"], ["a"], ["a"], ["a b"], ["a b"], ["a b"], ["a"], [], [], [], ["a", "b", "c"]]
+    assert cells_of("double", 1.5, None) == [["1.5"], []] and cells_of("int", -7) == [["-7"]]
