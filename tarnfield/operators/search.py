@@ -188,21 +188,22 @@ class Suggestions:
 def suggestions(table: Table, top: int = PREFIXES, top_next: int = NEXT_WORDS) -> Suggestions:
     """Prefixes of 2 to 12 letters with their most frequent words, and words with those that most often follow them.
 
-    Frequencies are counted before prefixes are spread out, so a frequent word is one row by then."""
+    Each different sentence is cut into words once, however many rows have it. Frequencies are counted before prefixes are
+    spread out, so a frequent word is one row by then."""
     L = table.locale
     clean = F.regexp_replace(F.regexp_replace("sentence", _MARKS, " "), _LONE, " ")
     raw = F.transform(F.split(clean, r"\s+"), lambda w: F.regexp_replace(w, r"(?U)^[^\w\x80-\xff]+|[^\w\x80-\xff]+$", ""))
     text = F.array_join(F.filter(raw, lambda w: F.char_length(w) >= 2), "\n")
     lists = F.filter(F.transform(F.split(L.column("suggest_words", text), "\n"), lambda x: F.filter(F.split(x, " "), lambda w: F.char_length(w) >= 2)), lambda x: F.size(x) > 0)
-    rows = sentences(table).select(lists.alias("ws"))
-    freq = rows.select(F.explode(F.flatten("ws")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).withColumn("ascii", L.column("to_ascii", F.col("word")))
+    rows = sentences(table).groupBy("sentence").agg(F.count("*").alias("times")).select(lists.alias("ws"), "times")
+    freq = rows.select(F.explode(F.flatten("ws")).alias("word"), "times").groupBy("word").agg(F.sum("times").alias("n")).withColumn("ascii", L.column("to_ascii", F.col("word")))
     ends = lambda c: F.transform(F.sequence(F.lit(2), F.least(F.lit(12), F.char_length(c))), lambda k: F.substring(c, F.lit(1), k))
     two = lambda c: F.when(F.char_length(c) >= 2, ends(c)).otherwise(F.array().cast("array<string>"))
     each = freq.select("word", "n", F.explode(F.array_distinct(F.concat(two(F.col("word")), two(F.col("ascii"))))).alias("prefix"))
     rank = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.col("n").desc(), F.col("word" if key == "prefix" else "next")))
     prefixes = each.withColumn("rank", rank("prefix")).filter(F.col("rank") <= top).select("prefix", "word", "n", "rank")
-    follow = rows.select(F.explode(F.transform(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("a"), F.get("ws", i + 1).alias("b")))).alias("p"))
-    pairs = follow.select(F.explode("p.a").alias("word"), "p.b").select("word", F.explode("b").alias("next")).groupBy("word", "next").agg(F.count("*").alias("n"))
+    follow = rows.select(F.explode(F.transform(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("a"), F.get("ws", i + 1).alias("b")))).alias("p"), "times")
+    pairs = follow.select(F.explode("p.a").alias("word"), "p.b", "times").select("word", F.explode("b").alias("next"), "times").groupBy("word", "next").agg(F.sum("times").alias("n"))
     pairs = pairs.withColumn("ascii", L.column("to_ascii", F.col("word")))
     keys = F.when(F.col("ascii") != F.col("word"), F.array("word", "ascii")).otherwise(F.array("word"))
     pairs = pairs.select(F.explode(keys).alias("word"), "next", "n").groupBy("word", "next").agg(F.sum("n").alias("n"))

@@ -242,6 +242,15 @@ def test_lists_are_made_over_all_cores(spark, books, tmp_path, monkeypatch):
     assert len(tasks) == 2 and min(tasks) >= spark.sparkContext.defaultParallelism
 
 
+def test_a_repeated_sentence_is_cut_once(spark):
+    t = Table(table_spec("p", ["id", "name"], suggest=[1]), spark.createDataFrame([(i, "red bolt" if i < 90 else "red ring") for i in range(100)], "id long, name string"))
+    s = search.suggestions(t)
+    assert {(r["word"], r["next"], r["n"]) for r in s.transitions.collect()} == {("red", "bolt", 90), ("red", "ring", 10)}
+    assert {(r["word"], r["n"]) for r in s.prefixes.collect()} == {("red", 100), ("bolt", 90), ("ring", 10)}
+    for df in (s.prefixes, s.transitions):
+        assert "Aggregate [sentence" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_changed_rows_are_made_once_for_all_lists(spark, books, tmp_path):
     built, seen = index.build(books, str(tmp_path)), spark.sparkContext.accumulator(0)
 
